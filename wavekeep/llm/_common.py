@@ -37,25 +37,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def bucket_links(rows: DataFrame, bucket: list[str], node: str, carry: list[str], near: int = 7) -> DataFrame:
-    """Candidate pairs inside buckets, linear in the rows: each row meets the ``near`` rows before it
-    (so all pairs of a bucket of up to ``near`` + 1 rows) and the first row of its bucket.
+def bucket_links(rows: DataFrame, bucket: str, node: str, near: int = 7, order: list[str] | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of nodes inside buckets, linear in the rows: each row meets the
+    ``near`` rows before it (so all pairs of a bucket of up to ``near`` + 1 rows) and the first row of its
+    bucket.
 
-    The order inside a bucket is a hash that differs from bucket to bucket, so in larger groups each
-    of a node's buckets offers other partners. Returns columns a_* and b_* with a_node < b_node.
+    In larger buckets rows are ordered by ``order``, then by a hash that differs from bucket to bucket, so
+    that each of a node's buckets offers other partners.
     """
-    w = Window.partitionBy(*bucket).orderBy(F.xxhash64(*bucket, node), node)
-    cols = [node, *carry]
-    rows = rows.select(*bucket, F.struct(*cols).alias("me"), node)
-    rows = rows.select(
-        "me",
-        F.array(F.first("me").over(w), *[F.lag("me", i).over(w) for i in range(1, near + 1)]).alias("them"),
-    ).where(F.col("them")[1].isNotNull())
-    pairs = rows.select("me", F.explode("them").alias("it")).where(F.col("it").isNotNull() & (F.col(f"it.{node}") != F.col(f"me.{node}")))
-    first, second = F.least("me", "it"), F.greatest("me", "it")
-    return pairs.select(first.alias("a"), second.alias("b")).select(
-        *[F.col(f"a.{c}").alias(f"a_{c}") for c in cols], *[F.col(f"b.{c}").alias(f"b_{c}") for c in cols]
-    )
+    w = Window.partitionBy(bucket).orderBy(*(order or []), F.xxhash64(bucket, node), node)
+    rows = rows.select(node, F.array(F.first(node).over(w), *[F.lag(node, i).over(w) for i in range(1, near + 1)]).alias("them"))
+    pairs = rows.where(F.col("them")[1].isNotNull()).select(node, F.explode("them").alias("it")).where(f"it <> {node}")
+    return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

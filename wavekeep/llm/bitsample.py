@@ -3,8 +3,10 @@
 Each distinct text gets two fingerprints of signed votes: a coarse one over its words, from which each of
 several tables samples coordinates, and a fine one over its sets of five words. Texts that agree on a
 table's first sampled coordinates share a bucket; the more texts there are, the more coordinates are
-used, and an oversized bucket is split by further ones. Within buckets candidates are verified by the
-distance of their fine fingerprints, and verified links are joined by distributed union-find.
+used. A bucket of more than ``CAP`` texts is split by additional ones, as far as it takes: its texts are
+ordered by all coordinates of the table, so that those which agree on most of them meet. Candidates are
+verified by the distance of their fine fingerprints, and verified links are joined by distributed
+union-find.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SLACK = 0.025  # of the similarity: the fine distance estimates it to about that
 TABLES = 20
 SAMPLED = 40
 COARSE, FINE, FEATURES = 256, 512, 4096
-CAP = 64
+CAP = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,20 +112,17 @@ def similar(a: str, b: str) -> Column:
 
 
 def links(sketches: DataFrame) -> DataFrame:
-    """Verified links (a, b) between keys of different texts with words."""
+    """Verified links (a, b) between keys of different texts with words. Candidates are found on 60 bits of
+    the keys; the prints that verify them join later, only for candidates."""
     texts = sketches.where("runs > 0").groupBy("key").agg(F.first("runs").alias("runs"), F.first("tables").alias("tables"), F.first("fine").alias("fine"))
-    texts = settle(texts)
+    texts = settle(texts.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")))
     used = min(SAMPLED, max(8, int(np.ceil(np.log2(max(2, texts.count())))) + 1))
-    rows = texts.select("key", "runs", "fine", F.posexplode("tables").alias("table", "bits"))
-    rows = rows.withColumn("bucket", F.shiftright("bits", SAMPLED - used))
-    carry = ["runs", "fine"]
-    pairs = bucket_links(rows, ["table", "bucket"], "key", carry)
-    # buckets above the cap once more, split by further coordinates
-    for more in range(4, min(8, SAMPLED - used) + 1, 4):
-        size = F.count("*").over(Window.partitionBy("table", "bucket"))
-        rows = rows.withColumn("size", size).where(F.col("size") > CAP).drop("size").withColumn("bucket", F.shiftright("bits", SAMPLED - used - more))
-        pairs = pairs.unionByName(bucket_links(rows, ["table", "bucket"], "key", carry))
-    return pairs.where(similar("a", "b")).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+    rows = texts.select("node", F.posexplode("tables").alias("table", "bits"))
+    rows = rows.select("node", "bits", F.xxhash64("table", F.shiftright("bits", SAMPLED - used)).alias("bucket"))
+    pairs = bucket_links(rows, "bucket", "node", CAP - 1, ["bits"]).distinct()
+    for x in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("key").alias(f"{x}_key"), F.col("runs").alias(f"{x}_runs"), F.col("fine").alias(f"{x}_fine")), x)
+    return pairs.where(similar("a", "b")).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
