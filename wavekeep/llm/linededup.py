@@ -23,7 +23,9 @@ LEAST_SHINGLES = 4  # below, two different lines can't reach the similarity
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 BINS = BANDS * ROWS
-CHUNK = 1 << 19
+CHUNK = 1 << 17
+#: Lines whose sketches a task remembers having sent.
+REMEMBERED = 1 << 20
 #: Bits of the filter that keeps lines which are no candidates off the network: 8 MB at most.
 MOST_BITS = 1 << 26
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +45,11 @@ def windows(data: np.ndarray) -> np.ndarray:
     n = len(data) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.as_strided(data.view(), (n, SHINGLE), (1, 1)).copy().view("<u8").ravel()
+    out = np.empty(n, np.uint64)
+    for i in range(min(SHINGLE, n)):  # those that start at i, i + 8, ...
+        count = (len(data) - i) // SHINGLE
+        out[i::SHINGLE] = np.frombuffer(data[i : i + count * SHINGLE].tobytes(), "<u8")
+    return out
 
 
 def bands(lines: list[bytes]) -> np.ndarray:
@@ -77,13 +83,29 @@ def bands(lines: list[bytes]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of the sets of shingles; a line shorter than a shingle is its own only shingle."""
-    x, y = (np.unique(windows(np.frombuffer(t, np.uint8))) if len(t) >= SHINGLE else None for t in (a, b))
-    if x is None or y is None:
-        return float(a == b)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared / (len(x) + len(y) - shared)
+def _marked(lines: list[bytes]) -> np.ndarray:
+    """The distinct shingles of each line, sorted: 52 mixed bits of a shingle below 12 of its line's place. A
+    line shorter than a shingle has none."""
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = windows(data) * _MIX
+    h ^= h >> np.uint64(32)
+    of = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)[: len(h)]
+    left = np.repeat(np.cumsum(sizes), sizes)[: len(h)] - np.arange(len(h))
+    marked = np.sort(((h * _MIX) >> np.uint64(12) | of << np.uint64(52))[left >= SHINGLE])
+    return marked[np.concatenate([[True], marked[1:] != marked[:-1]])] if len(marked) else marked
+
+
+def jaccard(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """The similarity of the shingle sets of each x and y, at most 4096 at once; where one has none, whether they are equal."""
+    if len(xs) > 1 << 12:
+        raise ValueError("too many pairs at once")
+    x, y = _marked(xs), _marked(ys)
+    both = np.sort(np.concatenate([x, y]))
+    shared = both[:-1][both[1:] == both[:-1]]
+    n, m, k = (np.bincount((v >> np.uint64(52)).astype(np.int64), minlength=len(xs)) for v in (x, y, shared))
+    equal = np.fromiter((a == b for a, b in zip(xs, ys, strict=True)), bool, len(xs))
+    return np.where((n > 0) & (m > 0), k / np.maximum(n + m - k, 1), equal)
 
 
 def _distinct_lines(texts: list) -> dict[bytes, None]:
@@ -98,15 +120,20 @@ def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
     """(line, bands) of the lines of at least LEAST_SHINGLES shingles; line: ``short`` of the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for b in batches:
-            lines = [x for x in _distinct_lines(b.column(0).to_pylist()) if len(x) >= SHINGLE + LEAST_SHINGLES - 1]
-            at = 0
+            found = {short(digest(x)): x for x in _distinct_lines(b.column(0).to_pylist()) if len(x) >= SHINGLE + LEAST_SHINGLES - 1}
+            names = [k for k in found if k not in sent]
+            lines, at = [found[k] for k in names], 0
+            sent.update(names)
+            if len(sent) > REMEMBERED:
+                sent.clear()
             while at < len(lines):
                 end, size = at + 1, len(lines[at])
                 while end < len(lines) and size + len(lines[end]) <= CHUNK:
                     size, end = size + len(lines[end]), end + 1
                 keys = bands(lines[at:end])
-                ids = pa.array([short(digest(x)) for x in lines[at:end]], pa.int64())
+                ids = pa.array(names[at:end], pa.int64())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([ids, flat], names=["line", "bands"])
                 at = end
@@ -156,7 +183,14 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(digest(x), digest(y)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x != y and jaccard(x, y) >= SIMILARITY]
+            xs, ys, at, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, []
+            while at < len(xs):
+                end, size = at + 1, len(xs[at])
+                while end < len(xs) and end - at < 1 << 12 and size + len(xs[end]) <= CHUNK:
+                    size, end = size + len(xs[end]), end + 1
+                near = jaccard(xs[at:end], ys[at:end]) >= SIMILARITY
+                rows += [(digest(x), digest(y)) for x, y, s in zip(xs[at:end], ys[at:end], near, strict=True) if s and x != y]
+                at = end
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["a", "b"])
 
     return pairs.select("x", "y").mapInArrow(run, "a string, b string")
@@ -166,11 +200,12 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Verified links (a, b) between digests of different lines."""
     sketches = _sketches(docs, text_col)
     rows = sketches.select("line", F.posexplode("bands").alias("band", "key")).select("line", F.xxhash64("band", "key").alias("bucket"))
-    pairs = settle(bucket_links(rows.distinct(), ["bucket"], "line", []).distinct())
-    ids = pairs.select(F.explode(F.array("a_line", "b_line")).alias("line")).distinct()
+    # one shuffle: a task sends a line once, so a bucket gets it once from each task at most
+    pairs = settle(bucket_links(rows.repartition("bucket").distinct(), "bucket", "line").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     texts = settle(_texts_of(docs, text_col, ids))
-    joined = pairs.join(texts.select(F.col("line").alias("a_line"), F.col("text").alias("x")), "a_line")
-    joined = joined.join(texts.select(F.col("line").alias("b_line"), F.col("text").alias("y")), "b_line")
+    joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
+    joined = joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
     return _verified(joined)
 
 
