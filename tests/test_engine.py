@@ -246,3 +246,18 @@ def test_entry_works_without_the_text_operators(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+def test_throttled_log():
+    from wavekeep.functions.logs import Throttle
+
+    ticks = iter([0.0, 0.5, 1.1, 1.2])
+    t = Throttle(1.0, lambda: next(ticks))
+    assert [t.filter(None) for _ in range(4)] == [True, False, True, False]
+
+
+def test_sync_outside_table(spark, tmp_path):
+    changes = spark.createDataFrame([("add", 1), ("update", 2), ("delete", 3)], "type string, key int")
+    put = lambda kind: lambda rows: [(tmp_path / f"{kind}{r.key}").touch() for r in rows]
+    feed.sync(changes, put("new"), put("gone"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["gone3", "new1"]

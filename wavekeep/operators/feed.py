@@ -1,6 +1,8 @@
 """Uses of a change feed outside the graph."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.keys import KeySpec, match
@@ -21,3 +23,9 @@ def apply_feed(values: DataFrame, feed: DataFrame, spec: KeySpec = KeySpec()) ->
     touched = feed.select(spec.of("key").alias("_g")).distinct()
     kept = match(values.withColumn("_g", spec.of("key")), touched, "left_anti").select("key", "value")
     return kept.unionByName(feed.where(F.col("type") != DELETE).select("key", "value"))
+
+
+def sync(feed: DataFrame, insert: Callable[[Iterable[Row]], None], delete: Callable[[Iterable[Row]], None]) -> None:
+    """Keeps the keys of an outside table in step: calls ``delete``, then ``insert`` with the keys of each partition."""
+    deleted_keys(feed).foreachPartition(delete)
+    added_keys(feed).foreachPartition(insert)

@@ -60,6 +60,7 @@ class WaveReport:
 class Graph:
     def __init__(self, spark: SparkSession, store: Store | None = None):
         self.spark, self.store, self.stages, self.version = spark, store or MemoryStore(), {}, 0
+        self.tag = f"graph-{id(self)}"
 
     def source(self, name: str, key: T.DataType | str, value: T.DataType | str, producer: Producer | None = None, **options) -> Stage:
         """A root: waves are given to it from outside."""
@@ -118,7 +119,17 @@ class Graph:
         Nothing counts before the manifest of the new version is written, so a wave that fails can be run
         again. Stages that the wave doesn't reach keep their version.
         """
-        base = self.version if based_on is None else based_on
+        self.spark.addTag(self.tag)
+        try:
+            return self._update(inputs, self.version if based_on is None else based_on, batch, validate)
+        finally:
+            self.spark.removeTag(self.tag)
+
+    def cancel(self) -> None:
+        """Interrupts the wave that another thread is running; its version is not committed."""
+        self.spark.interruptTag(self.tag)
+
+    def _update(self, inputs: dict[str, DataFrame], base: int, batch: int | None, validate: bool) -> WaveReport:
         at, version = self._manifest(base), base + 1
         for name in inputs:
             if self.stages[name].sources:
