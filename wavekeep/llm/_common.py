@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,39 @@ def bucket_links(rows: DataFrame, bucket: str, node: str, near: int = 7, order:
     return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
 
 
+#: Bits of a filter of ids: 8 MB at most.
+MOST_BITS = 1 << 26
+_SHIFTS = (7, 14, 21)
+
+
+def short(hexed: str) -> int:
+    """60 bits of a digest, for candidates only: they are verified on text."""
+    return int(hexed[:15], 16)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the distinct 60-bit ids in column id: it keeps what is no candidate off the network.
+    Its bits are a power of two, at most ``MOST_BITS``; with more ids than that suits, it passes more rows than
+    needed but never fewer. Built by or-ing words, of which a bounded number comes to the driver."""
+    n, bits = ids.count(), 1 << 10
+    while bits < 16 * n and bits < MOST_BITS:
+        bits *= 2
+    spots = F.explode(F.array(*[F.col("id").bitwiseXOR(F.shiftright("id", s)).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS]))
+    words = ids.select(spots.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["m"]
+    return out
+
+
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    keep, last = np.ones(len(ids), bool), len(words) * 64 - 1
+    for s in _SHIFTS:
+        p = (ids ^ (ids >> s)) & last
+        keep &= (words[p >> 6] >> (p & 63) & 1).astype(bool)
+    return keep
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Distributed union-find over edges (a, b): one row (node, root) for each node that has an edge,
     where root is the least node of its component.

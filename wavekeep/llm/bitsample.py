@@ -5,8 +5,8 @@ several tables samples coordinates, and a fine one over its sets of five words.
 table's first sampled coordinates share a bucket; the more texts there are, the more coordinates are
 used. A bucket of more than ``CAP`` texts is split by additional ones, as far as it takes: its texts are
 ordered by all coordinates of the table, so that those which agree on most of them meet. Candidates are
-verified by the distance of their fine fingerprints, and verified links are joined by distributed
-union-find.
+verified by the distance of their fine fingerprints, those near the threshold on their texts, and verified
+links are joined by distributed union-find.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucket_links, components, free_name, settle, small_batches
+from ._common import bucket_links, components, free_name, id_filter, passes, settle, short, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
-SLACK = 0.025  # of the similarity: the fine distance estimates it to about that
+SLACK = 0.1  # an estimate from fine prints that is nearer to the similarity is checked on the texts
 TABLES = 20
 SAMPLED = 40
 COARSE, FINE, FEATURES = 256, 512, 4096
@@ -102,18 +102,48 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id bigint, key string, runs bigint, tables array<bigint>, fine array<bigint>")
 
 
-def similar(a: str, b: str) -> Column:
-    """Whether the fine prints of two sketches stand for a similarity of ``SIMILARITY`` or more: the distance
-    gives the cosine of the sets of runs, and this with their sizes gives the part they share."""
+def estimate(a: str, b: str) -> Column:
+    """The similarity that the fine prints of two sketches stand for: their distance gives the cosine of the
+    sets of runs, and this with their sizes gives the part they share."""
     differ = sum((F.bit_count(F.col(f"{a}_fine")[i].bitwiseXOR(F.col(f"{b}_fine")[i])) for i in range(FINE // 64)), F.lit(0))
     n, m = F.col(f"{a}_runs").cast("double"), F.col(f"{b}_runs").cast("double")
     shared = F.cos(differ * F.lit(float(np.pi) / FINE)) * F.sqrt(n * m)
-    return shared >= F.lit(SIMILARITY - SLACK) * (n + m - shared)
+    return shared / (n + m - shared)
 
 
-def links(sketches: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+    """(key, text) of the texts whose keys' 60 bits are among ``ids``, and a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = {hashlib.md5((x or "").encode("utf-8", "surrogatepass")).hexdigest(): x or "" for x in b.column(0).to_pylist()}
+            keys = list(texts)
+            some = np.flatnonzero(passes(shared.value, np.array([short(k) for k in keys], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.string()), pa.array([texts[keys[i]] for i in some], pa.string())], names=["key", "text"])
+
+    return docs.select(text_col).mapInArrow(run, "key string, text string").groupBy("key").agg(F.first("text").alias("text"))
+
+
+def _checked(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, x, y) whose texts x and y are similar enough: Jaccard of the sets of runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                (_, n), (_, m) = features(x.as_py()), features(y.as_py())
+                both = len(np.intersect1d(n, m, assume_unique=True))
+                keep.append(both >= SIMILARITY * (len(n) + len(m) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+
+
+def links(docs: DataFrame, sketches: DataFrame, text_col: str = "text") -> DataFrame:
     """Verified links (a, b) between keys of different texts with words. Candidates are found on 60 bits of
-    the keys; the prints that verify them join later, only for candidates."""
+    the keys; the prints that verify them join later, only for candidates, and the texts only for pairs whose
+    estimate is within ``SLACK`` of the similarity."""
     texts = sketches.where("runs > 0").groupBy("key").agg(F.first("runs").alias("runs"), F.first("tables").alias("tables"), F.first("fine").alias("fine"))
     texts = settle(texts.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")))
     used = min(SAMPLED, max(8, int(np.ceil(np.log2(max(2, texts.count())))) + 1))
@@ -122,7 +152,14 @@ def links(sketches: DataFrame) -> DataFrame:
     pairs = bucket_links(rows, "bucket", "node", CAP - 1, ["bits"]).distinct()
     for x in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("key").alias(f"{x}_key"), F.col("runs").alias(f"{x}_runs"), F.col("fine").alias(f"{x}_fine")), x)
-    return pairs.where(similar("a", "b")).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    pairs = pairs.withColumn("near", estimate("a", "b")).where(F.col("near") >= SIMILARITY - SLACK)
+    pairs = settle(pairs.select(F.col("a").alias("m"), F.col("b").alias("n"), F.col("a_key").alias("a"), F.col("b_key").alias("b"), "near"))
+    sure, unsure = pairs.where(F.col("near") >= SIMILARITY + SLACK), pairs.where(F.col("near") < SIMILARITY + SLACK)
+    texts = settle(_texts_of(docs, text_col, unsure.select(F.explode(F.array("m", "n")).alias("id")).distinct()))
+    unsure = unsure.select("a", "b")
+    for side, text in (("a", "x"), ("b", "y")):
+        unsure = unsure.join(texts.select(F.col("key").alias(side), F.col("text").alias(text)), side)
+    return sure.select("a", "b").unionByName(_checked(unsure))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +171,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts without words are a class if equal. Other columns are ignored.
     """
     sketches = settle(sketch(docs, id_col, text_col))
-    roots = components(links(sketches))
+    roots = components(links(docs, sketches, text_col))
     texts = sketches.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("least"), F.count("*").alias("rows"))
     texts = texts.join(roots, texts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
     heads = texts.groupBy("root").agg(F.min("least").alias("head"), F.sum("rows").alias("class_size")).select(F.col("root").alias("r"), "head", "class_size")

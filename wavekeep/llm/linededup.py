@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_links, components, free_name, settle, small_batches
+from ._common import bucket_links, components, free_name, id_filter, passes, settle, short, small_batches
 
 SHINGLE = 8
 LEAST_SHINGLES = 4  # below, two different lines can't reach the similarity
@@ -26,8 +26,6 @@ BINS = BANDS * ROWS
 CHUNK = 1 << 17
 #: Lines whose sketches a task remembers having sent.
 REMEMBERED = 1 << 20
-#: Bits of the filter that keeps lines which are no candidates off the network: 8 MB at most.
-MOST_BITS = 1 << 26
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,11 +33,6 @@ def digest(line: bytes) -> str:
     return hashlib.md5(line).hexdigest()
 
 
-def short(hexed: str) -> int:
-    """60 bits of a digest, for candidates only: they are verified on text."""
-    return int(hexed[:15], 16)
-
-
 def windows(data: np.ndarray) -> np.ndarray:
     """The shingle that starts at each byte but the last seven, as a number."""
     n = len(data) - SHINGLE + 1
@@ -141,26 +134,9 @@ def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "line bigint, bands array<bigint>")
 
 
-_SEEDS = (1, 2, 3)
-
-
-def _filter(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """A Bloom filter of 60-bit ids: its bits are a power of two, at most ``MOST_BITS``; beyond, it passes more
-    lines than needed but never fewer. Built by or-ing words, of which a bounded number comes here."""
-    bits = 1 << 10
-    while bits < 16 * n and bits < MOST_BITS:
-        bits *= 2
-    spots = F.explode(F.array(*[F.col("line").bitwiseXOR(F.shiftright("line", 7 * s)).bitwiseAND(F.lit(bits - 1)) for s in _SEEDS]))
-    words = ids.select(spots.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["m"]
-    return bits, out
-
-
 def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
     """(line, text) of the candidate lines, and a few others."""
-    bits, words = _filter(ids, ids.count())
+    words = id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +144,7 @@ def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
         for b in batches:
             lines = list(_distinct_lines(b.column(0).to_pylist()))
             key = np.array([short(digest(x)) for x in lines], np.int64)
-            keep = np.ones(len(lines), bool)
-            for s in _SEEDS:
-                p = (key ^ (key >> (7 * s))) & (bits - 1)
-                keep &= (held[p >> 6] >> (p & 63) & 1).astype(bool)
-            some = np.flatnonzero(keep)
+            some = np.flatnonzero(passes(held, key))
             yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array([lines[i] for i in some], pa.binary())], names=["line", "text"])
 
     return docs.select(text_col).mapInArrow(run, "line bigint, text binary").distinct()
@@ -202,7 +174,7 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = sketches.select("line", F.posexplode("bands").alias("band", "key")).select("line", F.xxhash64("band", "key").alias("bucket"))
     # one shuffle: a task sends a line once, so a bucket gets it once from each task at most
     pairs = settle(bucket_links(rows.repartition("bucket").distinct(), "bucket", "line").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = settle(_texts_of(docs, text_col, ids))
     joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
     joined = joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
