@@ -506,3 +506,18 @@ def test_license_base_and_suppression():
     labels = {h[0] for h in licenses.scan("Licensed under the GNU Lesser General Public License, version 2.1")[2]}
     assert labels == {"lgpl-2.1", "license"}
     assert len(licenses._PATTERNS) > 200
+
+
+def test_mixing_equals_sql(spark):
+    import os
+
+    from wavekeep.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    ran = con.execute(queries.oracle_sql()["op9_mixing"])
+    names = [c[0] for c in ran.description]
+    assert sorted(map(tuple, ran.fetchall())) == sorted(tuple(r[c] for c in names) for r in queries.op9_mixing(spark, d).collect())
