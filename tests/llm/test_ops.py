@@ -521,3 +521,23 @@ def test_mixing_equals_sql(spark):
     ran = con.execute(queries.oracle_sql()["op9_mixing"])
     names = [c[0] for c in ran.description]
     assert sorted(map(tuple, ran.fetchall())) == sorted(tuple(r[c] for c in names) for r in queries.op9_mixing(spark, d).collect())
+
+
+def _classes(spark, texts):
+    return {r["doc_id"]: r["class_id"] for r in rows(bitsample.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))}
+
+
+def _same_runs(a, b):
+    x, y = (set(bitsample.features(t)[1].tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_with_cut_and_replaced_tails(spark, monkeypatch):
+    monkeypatch.setattr(bitsample, "bits_used", lambda texts: 25)  # as for 30 GB
+    rng, texts = random.Random(21), []
+    for i in range(100):
+        w = prose(200, rng).split(" ")
+        texts += [" ".join(w), " ".join(w[:164]) if i % 2 else " ".join(w[:181] + prose(19, rng).split(" "))]
+    got = _classes(spark, texts)
+    for i in range(0, len(texts), 2):
+        assert 0.8 <= _same_runs(texts[i], texts[i + 1]) < 0.85 and got[i + 1] == i

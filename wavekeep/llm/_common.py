@@ -52,6 +52,57 @@ def bucket_links(rows: DataFrame, bucket: str, node: str, near: int = 7, order:
     return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
 
 
+#: Elements oftenest in a sample of sets, which come last in the order of a set: at most 1 MB.
+MOST_OFTEN = 1 << 16
+#: Rows of an element that meet in one block.
+BLOCK = 1024
+_EDGE = 1e-6  # a bound on a size is missed by no rounding
+
+
+def often(elements: DataFrame) -> np.ndarray:
+    """The elements (a row each, column element) that occur oftenest in a sample of sets, and their counts: two
+    rows of longs, by element. Only the cost of ``alike`` depends on them."""
+    top = elements.groupBy("element").count().where("count > 2").orderBy(F.desc("count"), "element").limit(MOST_OFTEN).collect()
+    return np.array(sorted((r["element"], r["count"]) for r in top), np.int64).reshape(-1, 2).T
+
+
+def leading(elements: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's distinct longs in one order for all sets, the rare ones first: as many as it takes that
+    two sets of at least this Jaccard similarity share one of them."""
+    rank = np.zeros(len(elements), np.int64)
+    if common.shape[1]:
+        at = np.minimum(np.searchsorted(common[0], elements), common.shape[1] - 1)
+        rank = np.where(common[0][at] == elements, common[1][at], 0)
+    keep = len(elements) - int(np.ceil(similarity * len(elements) - _EDGE)) + 1
+    return elements[np.lexsort((elements, rank))][:keep]
+
+
+def alike(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different roots: all whose sets have at least this Jaccard similarity, and
+    some others. sets: node, root, n (the size of the set) and lead (its ``leading`` elements).
+
+    Of two such sets the longer has one of its leading elements among the first of the shorter, at places that
+    leave enough for what they must share. Rows of an element meet in blocks of ``BLOCK`` by ``BLOCK``, so that
+    no task gets all rows of a frequent one; nodes of one root are linked already.
+    """
+    t = similarity
+    every = Window.partitionBy("element")
+    rows = sets.select("node", "root", "n", F.posexplode("lead").alias("i", "element"))
+    rows = rows.withColumn("rows", F.count("*").over(every)).withColumn("mixed", F.min("root").over(every) < F.max("root").over(every))
+    rows = rows.where("rows > 1 and mixed").withColumn("blocks", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}"))
+    rows = settle(rows.withColumn("block", F.expr("pmod(xxhash64(element, node), blocks)")))
+    each = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    x = rows.select("element", F.col("block").alias("s"), each.alias("t"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    y = rows.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - _EDGE))
+    y = y.select("element", each.alias("s"), F.col("block").alias("t"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    enough = f"* {1 + t} >= {t} * (nx + ny) - {_EDGE}"
+    pairs = x.join(y, ["element", "s", "t"]).where(f"rx <> ry and (nx > ny or nx = ny and x > y) and ny >= {t} * nx - {_EDGE} and least(nx - ix, ny - iy) {enough}")
+    # all shared up to the last shared place are counted
+    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
+    pairs = pairs.where(f"(c + least(nx - ix, ny - iy) - 1) {enough}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 #: Bits of a filter of ids: 8 MB at most.
 MOST_BITS = 1 << 26
 _SHIFTS = (7, 14, 21)

@@ -7,6 +7,9 @@ used. A bucket of more than ``CAP`` texts is split by additional ones, as far as
 ordered by all coordinates of the table, so that those which agree on most of them meet. Candidates are
 verified by the distance of their fine fingerprints, those near the threshold on their texts, and verified
 links are joined by distributed union-find.
+
+What the tables miss is found exactly: texts that are not linked yet meet if they share one of their rarest
+runs of words that any two texts similar enough must share, and are verified on the texts.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucket_links, components, free_name, id_filter, passes, settle, short, small_batches
+from ._common import alike, bucket_links, components, free_name, id_filter, leading, often, passes, settle, short, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -29,6 +32,7 @@ TABLES = 20
 SAMPLED = 40
 COARSE, FINE, FEATURES = 256, 512, 4096
 CAP = 8
+SAMPLE = 20_000  # texts of which the frequent runs of words are learned
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,13 +144,28 @@ def _checked(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
 
 
-def links(docs: DataFrame, sketches: DataFrame, text_col: str = "text") -> DataFrame:
-    """Verified links (a, b) between keys of different texts with words. Candidates are found on 60 bits of
+def bits_used(texts: int) -> int:
+    """How many sampled bits a text's bucket has."""
+    return min(SAMPLED, max(8, int(np.ceil(np.log2(max(2, texts)))) + 1))
+
+
+def _node(key: str) -> Column:
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+
+
+def _with_texts(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (m, n) of nodes whose texts are similar enough."""
+    texts = settle(_texts_of(docs, text_col, pairs.select(F.explode(F.array("m", "n")).alias("id")).distinct()).withColumn("node", _node("key")))
+    for node, side, text in (("m", "a", "x"), ("n", "b", "y")):
+        pairs = pairs.join(texts.select(F.col("node").alias(node), F.col("key").alias(side), F.col("text").alias(text)), node)
+    return _checked(pairs)
+
+
+def _sampled_links(docs: DataFrame, texts: DataFrame, n: int, text_col: str) -> DataFrame:
+    """Verified links (a, b) between keys of ``texts`` that share a bucket. Candidates are found on 60 bits of
     the keys; the prints that verify them join later, only for candidates, and the texts only for pairs whose
     estimate is within ``SLACK`` of the similarity."""
-    texts = sketches.where("runs > 0").groupBy("key").agg(F.first("runs").alias("runs"), F.first("tables").alias("tables"), F.first("fine").alias("fine"))
-    texts = settle(texts.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")))
-    used = min(SAMPLED, max(8, int(np.ceil(np.log2(max(2, texts.count())))) + 1))
+    used = bits_used(n)
     rows = texts.select("node", F.posexplode("tables").alias("table", "bits"))
     rows = rows.select("node", "bits", F.xxhash64("table", F.shiftright("bits", SAMPLED - used)).alias("bucket"))
     pairs = bucket_links(rows, "bucket", "node", CAP - 1, ["bits"]).distinct()
@@ -155,11 +174,48 @@ def links(docs: DataFrame, sketches: DataFrame, text_col: str = "text") -> DataF
     pairs = pairs.withColumn("near", estimate("a", "b")).where(F.col("near") >= SIMILARITY - SLACK)
     pairs = settle(pairs.select(F.col("a").alias("m"), F.col("b").alias("n"), F.col("a_key").alias("a"), F.col("b_key").alias("b"), "near"))
     sure, unsure = pairs.where(F.col("near") >= SIMILARITY + SLACK), pairs.where(F.col("near") < SIMILARITY + SLACK)
-    texts = settle(_texts_of(docs, text_col, unsure.select(F.explode(F.array("m", "n")).alias("id")).distinct()))
-    unsure = unsure.select("a", "b")
-    for side, text in (("a", "x"), ("b", "y")):
-        unsure = unsure.join(texts.select(F.col("key").alias(side), F.col("text").alias(text)), side)
-    return sure.select("a", "b").unionByName(_checked(unsure))
+    return sure.select("a", "b").unionByName(_with_texts(docs, text_col, unsure.select("m", "n")))
+
+
+def _leads(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """(node, n, lead) of the distinct texts with words: their runs for ``alike``. n: how many texts there are."""
+    text = docs.select(F.col(text_col).alias("text"))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(features(x.as_py())[1].view(np.int64))], names=["element"])
+
+    some = text.where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n)).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(often(some.mapInArrow(every, "element bigint")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = {hashlib.md5((x or "").encode("utf-8", "surrogatepass")).hexdigest(): x for x in b.column(0).to_pylist()}
+            names, sizes, leads = [], [], []
+            for k, x in texts.items():
+                runs = features(x)[1].view(np.int64)
+                if len(runs):
+                    names.append(short(k))
+                    sizes.append(len(runs))
+                    leads.append(leading(runs, shared.value, SIMILARITY))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64()))], names=["node", "n", "lead"])
+
+    return text.mapInArrow(run, "node bigint, n bigint, lead array<bigint>").groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
+
+
+def links(docs: DataFrame, sketches: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Roots (node, root) of the texts that the tables link, and the verified links (a, b) between texts of
+    different roots: all there are. Nodes are keys of texts with words."""
+    texts = sketches.where("runs > 0").groupBy("key").agg(F.first("runs").alias("runs"), F.first("tables").alias("tables"), F.first("fine").alias("fine"))
+    texts = settle(texts.withColumn("node", _node("key")))
+    n = texts.count()
+    roots = settle(components(_sampled_links(docs, texts, n, text_col)))
+    known = roots.select(_node("node").alias("it"), _node("root").alias("root"))
+    sets = _leads(docs, text_col, n)
+    sets = sets.join(known, sets["node"] == known["it"], "left").select("node", F.coalesce("root", "node").alias("root"), "n", "lead")
+    pairs = settle(alike(sets, SIMILARITY).select(F.col("a").alias("m"), F.col("b").alias("n")))
+    return roots, settle(_with_texts(docs, text_col, pairs))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +227,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts without words are a class if equal. Other columns are ignored.
     """
     sketches = settle(sketch(docs, id_col, text_col))
-    roots = components(links(docs, sketches, text_col))
+    roots, rest = links(docs, sketches, text_col)
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
     texts = sketches.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("least"), F.count("*").alias("rows"))
     texts = texts.join(roots, texts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
     heads = texts.groupBy("root").agg(F.min("least").alias("head"), F.sum("rows").alias("class_size")).select(F.col("root").alias("r"), "head", "class_size")
