@@ -541,3 +541,30 @@ def test_near_duplicates_with_cut_and_replaced_tails(spark, monkeypatch):
     got = _classes(spark, texts)
     for i in range(0, len(texts), 2):
         assert 0.8 <= _same_runs(texts[i], texts[i + 1]) < 0.85 and got[i + 1] == i
+
+
+def test_line_dedup_in_large_buckets(spark):
+    rng = random.Random(22)
+
+    def own(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    shared = own(200)
+    lines = []
+    for _ in range(150):
+        a = own(40)
+        lines += [shared + a, shared + a[:16] + own(24)]
+
+    def jaccard(x, y):
+        return linededup.jaccard([x.encode()], [y.encode()])[0]
+
+    assert all(jaccard(lines[i], lines[i + 1]) >= 0.8 for i in range(0, 300, 2))
+    assert max(jaccard(lines[0], x) for x in lines[2:]) < 0.8
+    order = rng.sample(range(300), 300)
+    got = rows(linededup.dedup(spark.createDataFrame([(at, lines[i]) for at, i in enumerate(order)], "doc_id bigint, text string")))
+    seen, want = set(), set()
+    for at, i in enumerate(order):
+        if i // 2 in seen:
+            want.add(at)
+        seen.add(i // 2)
+    assert {r["doc_id"] for r in got if r["n_dropped"]} == want

@@ -38,16 +38,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def bucket_links(rows: DataFrame, bucket: str, node: str, near: int = 7, order: list[str] | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, bucket: str, node: str, near: int = 7, order: list[str] | None = None, large: bool = False) -> DataFrame:
     """Candidate pairs (a, b), a < b, of nodes inside buckets, linear in the rows: each row meets the
     ``near`` rows before it (so all pairs of a bucket of up to ``near`` + 1 rows) and the first row of its
     bucket.
 
     In larger buckets rows are ordered by ``order``, then by a hash that differs from bucket to bucket, so
-    that each of a node's buckets offers other partners.
+    that each of a node's buckets offers other partners. With ``large`` each row of a larger bucket also
+    gives a pair (a, a): its node may have partners that it did not meet.
     """
     w = Window.partitionBy(bucket).orderBy(*(order or []), F.xxhash64(bucket, node), node)
-    rows = rows.select(node, F.array(F.first(node).over(w), *[F.lag(node, i).over(w) for i in range(1, near + 1)]).alias("them"))
+    them = [F.first(node).over(w), *[F.lag(node, i).over(w) for i in range(1, near + 1)]]
+    if large:
+        rows = rows.select(node, F.array(*them).alias("them"), (F.count("*").over(Window.partitionBy(bucket)) > near + 1).alias("large"))
+        # the first row of a bucket is the first it meets: itself
+        them = F.when(F.col("large"), F.array_union("them", F.array(node))).otherwise(F.array_except("them", F.array(node)))
+        pairs = rows.select(node, F.explode(them).alias("it")).where("it is not null")
+        return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
+    rows = rows.select(node, F.array(*them).alias("them"))
     pairs = rows.where(F.col("them")[1].isNotNull()).select(node, F.explode("them").alias("it")).where(f"it <> {node}")
     return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
 

@@ -3,7 +3,8 @@
 Equal lines are found by digest. For nearly equal ones each line gets a one-permutation MinHash
 signature of its character shingles (windows of ``SHINGLE`` UTF-8 bytes), cut into bands; lines that
 agree on a band are candidates, verified by the exact Jaccard similarity of their shingles, and joined by
-distributed union-find.
+distributed union-find. Of a large bucket a line first meets a few others only; its lines that are not
+linked by then meet again if they share one of their rarest shingles, which leaves out no similar pair.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_links, components, free_name, id_filter, passes, settle, short, small_batches
+from ._common import alike, bucket_links, components, free_name, id_filter, leading, often, passes, settle, short, small_batches
 
 SHINGLE = 8
 LEAST_SHINGLES = 4  # below, two different lines can't reach the similarity
@@ -26,6 +27,7 @@ BINS = BANDS * ROWS
 CHUNK = 1 << 17
 #: Lines whose sketches a task remembers having sent.
 REMEMBERED = 1 << 20
+SAMPLE = 20_000  # lines of which the frequent shingles are learned
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,17 +170,50 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(run, "a string, b string")
 
 
-def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Verified links (a, b) between digests of different lines."""
+def _leads(texts: DataFrame, n: int) -> DataFrame:
+    """(node, n, lead) of lines (line, text): their shingles for ``alike``. n: how many lines there are."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_marked([x]).view(np.int64))], names=["element"])
+
+    some = texts.where(F.shiftrightunsigned(F.xxhash64("line"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n))
+    shared = texts.sparkSession.sparkContext.broadcast(often(some.select("text").mapInArrow(every, "element bigint")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_marked([x]).view(np.int64) for x in b.column(1).to_pylist()]
+            leads = [leading(x, shared.value, SIMILARITY) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(leads, pa.list_(pa.int64()))], names=["node", "n", "lead"])
+
+    return texts.select("line", "text").mapInArrow(run, "node bigint, n bigint, lead array<bigint>")
+
+
+def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Roots (node, root) of the lines that are linked at first, and the verified links (a, b) between lines of
+    different roots in large buckets, all there are (None without such buckets). Nodes are digests."""
     sketches = _sketches(docs, text_col)
     rows = sketches.select("line", F.posexplode("bands").alias("band", "key")).select("line", F.xxhash64("band", "key").alias("bucket"))
     # one shuffle: a task sends a line once, so a bucket gets it once from each task at most
-    pairs = settle(bucket_links(rows.repartition("bucket").distinct(), "bucket", "line").distinct())
+    pairs = settle(bucket_links(rows.repartition("bucket").distinct(), "bucket", "line", large=True).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = settle(_texts_of(docs, text_col, ids))
-    joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
-    joined = joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
-    return _verified(joined)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
+        return _verified(joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b"))
+
+    roots = settle(components(verified(pairs.where("a <> b"))))
+    large = pairs.where("a = b").select(F.col("a").alias("line"))
+    n = large.count()
+    if not n:
+        return roots, None
+    sets = _leads(texts.join(large, "line", "left_semi"), n)
+    it, root = (F.conv(F.substring(x, 1, 15), 16, 10).cast("long") for x in ("node", "root"))
+    known = roots.select(it.alias("it"), root.alias("root"))
+    sets = sets.join(known, sets["node"] == known["it"], "left").select("node", F.coalesce("root", "node").alias("root"), "n", "lead")
+    return roots, settle(verified(alike(sets, SIMILARITY)))
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +221,10 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("m"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
     rows = rows.where(F.length(F.trim("line")) > 0).select("d", "m", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("k"))
     firsts = rows.groupBy("k").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "m", "at")).alias("first"))
-    roots = components(links(docs, text_col)).select(F.unhex("node").alias("node"), F.unhex("root").alias("root"))
+    roots, rest = links(docs, text_col)
+    if rest is not None and not rest.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    roots = roots.select(F.unhex("node").alias("node"), F.unhex("root").alias("root"))
     firsts = firsts.join(roots, F.col("k") == F.col("node"), "left").select(F.coalesce("root", "k").alias("k"), "first")
     firsts = firsts.groupBy("k").agg(F.min("first").alias("first"))
     return firsts.groupBy("first.d", "first.m").agg(F.collect_list("first.at").alias("at"))
