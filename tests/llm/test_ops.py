@@ -568,3 +568,12 @@ def test_line_dedup_in_large_buckets(spark):
             want.add(at)
         seen.add(i // 2)
     assert {r["doc_id"] for r in got if r["n_dropped"]} == want
+
+
+def test_pii_account_numbers_with_followers(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"IBAN {de} BIC COBADEFFXXX", f"{gb} Today", "DE89370400440532013000 A note", f"{de} 1234 x", f"{de} {gb}", f"{gb} {de} {gb} NO93 8601 1117 947", f"AB12 3456 7890 1234 {de}", "DE88 3704 0044 0532 0130 00 BIC"]
+    want = [[de], [gb], ["DE89370400440532013000"], [de], [de, gb], [gb, de, gb, "NO93 8601 1117 947"], [de], []]
+    got = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [[s["value"] for s in r["spans"] if s["kind"] == "iban"] for r in got] == want
+    assert all(r["text"][s["start"] : s["end"]] == s["value"] for r in got for s in r["spans"])

@@ -41,12 +41,22 @@ _MOD97 = (
     "aggregate(transform(split(concat(substr({x}, 5), substr({x}, 1, 4)), ''), c -> if(c rlike '[A-Z]', cast(ascii(c) - 55 as string), c)),"
     " 0L, (r, d) -> if(d = '', r, (r * if(length(d) = 2, 100, 10) + cast(d as bigint)) % 97)) = 1"
 )
+#: Countries by the length of their account numbers.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{x.replace(' ', '|')})[0-9]{{2}}(?: ?+[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, x in IBANS.items())
+#: Of other countries as long as it goes, but not into a number of a known one.
+_OTHER_IBAN = rf"(?!{'|'.join(IBANS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_IBAN})) ?+[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])"
 KINDS = (
     Kind("email", "instr({t}, '@') > 0", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true", 0.9, r"\b(?:e-?mail|mail|contact|write|reach|courriel|correo)"),
     Kind("ip", "{t} rlike '[0-9][.][0-9]'", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", rf"m rlike '^{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}$'", 0.6, r"\b(?:ip|address|host|server|login|client|adresse)\b"),
     Kind("card", "{t} rlike '[0-9][ -]?[0-9]'", r"[0-9](?:[ -]?+[0-9])++", "length(translate(m, ' -', '')) between 14 and 19 and luhn_check(translate(m, ' -', ''))", 0.8, r"\b(?:card|visa|credit|debit|amex|mastercard|carte|karte|tarjeta)"),
     Kind("phone", "instr({t}, '+') > 0", r"\+[0-9][ ().0-9-]+[0-9]", "length(translate(m, '+ ().-', '')) between 10 and 15", 0.6, r"\b(?:phone|tel|call|mobile|fax|whatsapp|telefon|appel)"),
-    Kind("iban", "{t} rlike '[A-Z]{2}[0-9]{2}'", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "length(replace(m, ' ', '')) between 15 and 34 and " + _MOD97.format(x="replace(m, ' ', '')"), 0.9, r"\b(?:iban|bank|account|konto|compte|cuenta)"),
+    Kind("iban", "{t} rlike '[A-Z]{2}[0-9]{2}'", rf"(?<![A-Za-z0-9])(?:{_IBAN}|{_OTHER_IBAN})", "length(replace(m, ' ', '')) between 15 and 34 and " + _MOD97.format(x="replace(m, ' ', '')"), 0.9, r"\b(?:iban|bank|account|konto|compte|cuenta)"),
     Kind("ssn", "{t} rlike '[0-9]-[0-9]{2}-[0-9]'", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "not m rlike '^(000|666|9)|-00-|-0000$'", 0.6, r"\b(?:ssn|social|security|tax)\b"),
     Kind("mac", "{t} rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{2}:'", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Za-z:])", "true", 0.7, r"\b(?:mac|device|wlan|ethernet)\b"),
     Kind("secret", "{t} rlike 'AKIA|ghp_|sk-|xox[abp]-|AIza|BEGIN [A-Z ]*PRIVATE KEY'", r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])|sk-[0-9A-Za-z_-]{20,}+|xox[abp]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-]))|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true", 0.9, r"\b(?:key|secret|token|password)"),
