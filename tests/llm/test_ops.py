@@ -577,3 +577,34 @@ def test_pii_account_numbers_with_followers(spark):
     got = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [[s["value"] for s in r["spans"] if s["kind"] == "iban"] for r in got] == want
     assert all(r["text"][s["start"] : s["end"]] == s["value"] for r in got for s in r["spans"])
+
+
+def test_license_patterns_detect_what_they_match():
+    from re import _parser
+
+    def least(parsed):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0]) if str(arg[0][0]) in ("LITERAL", "RANGE") else "x"
+            elif name == "ANY":
+                out += "x"
+            elif name == "SUBPATTERN":
+                out += least(arg[3])
+            elif name == "BRANCH":
+                out += least(arg[1][0])
+            else:
+                out += least(arg[2]) * arg[0]
+        return out
+
+    for *_, patterns in licenses.RULES:
+        for p in patterns:
+            text = least(_parser.parse(p))
+            assert re.fullmatch(p, text)
+            n, _, hits = licenses.scan(text.replace(" ", "\n"))
+            assert any(h[1:3] == (0, n) for h in hits), p
+    for text, label in (("Tous droits réservés.", "all-rights-reserved"), ("same terms as Perl\nitself", "artistic"), ("SPDX-License-Identifier: 0BSD", "0bsd"), ("the ASL-2.0", "apache-2")):
+        assert label in {h[0] for h in licenses.scan(text)[2]}, text

@@ -1,6 +1,6 @@
 """License scans by ordered signature rules.
 
-A text becomes lower-case words. Hand-written patterns (``license_rules``), each gated by a keyword,
+A text becomes lower-case words. Hand-written patterns (``license_rules``), each gated by its longest literal,
 propose detections; one that lies within another's words is suppressed if the other has a higher
 priority, or the same and is longer, or as long and of an earlier rule. Base phrases are found in any
 case and never suppressed.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,10 +19,25 @@ from ._common import small_batches
 from .license_rules import RULES
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: A text without any of these (as lower-case bytes) has no detection; most texts end here.
-GATE = (b"licen", b"lizenz", b"copyright", b"spdx", b"reserv", b"rechte", b"derechos", b"domain", b"dominio", b"gemeinfrei", b"commons", b"gpl", b"cc", b"permission", b"redistribution", b"endorse", b"acknowledgement", b"as is", b"proprietary", b"commercial", b"research", b"cddl", b"eupl", b"cecill", b"wtfpl", b"odbl", b"odc", b"asl 2", b"mpl", b"epl", b"0bsd", b"bsd", b"unencumbered", b"good", b"beer", b"perl itself", b"rail", b"mit", b"openssl", b"psl", b"nasa open")
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_PATTERNS = [(label, priority, f" {keyword}" if len(keyword) < 4 else keyword, re.compile(rf"(?<= )(?:{p})(?= )")) for label, priority, keyword, patterns in RULES for p in patterns]
+
+
+def literals(parsed: _parser.SubPattern) -> list[str]:
+    """Strings that each match of a parsed pattern holds."""
+    out = [""]
+    for op, arg in parsed:
+        if op is _parser.LITERAL:
+            out[-1] += chr(arg)
+            continue
+        if op is _parser.SUBPATTERN:
+            out += literals(arg[3])
+        elif op is _parser.MAX_REPEAT and arg[0]:
+            out += literals(arg[2])
+        out.append("")
+    return out
+
+
+_PATTERNS = [(label, priority, max(literals(_parser.parse(p)), key=len), re.compile(rf"(?<= )(?:{p})(?= )")) for label, priority, patterns in RULES for p in patterns]
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<label:string,start:int,end:int,priority:int>>"
 
 
@@ -40,18 +56,15 @@ def _places(line: str, phrase: str) -> list[int]:
 
 def scan(text: str | None) -> tuple:
     """(words, base places as (word, label), detections as (label, first word, end word, priority)) of a text."""
-    low = (text or "").encode("utf-8", "surrogatepass").lower()
-    found = low.translate(_WORD).split()
-    if not any(g in low for g in GATE):
-        return len(found), [], []
+    found = words(text)
     line = f" {b' '.join(found).decode('utf-8', 'surrogatepass')} "
     base = sorted((line.count(" ", 0, at + 1) - 1, label) for phrase, label in BASE.items() for at in _places(line, phrase))
     hits: set[tuple] = set()
     keyed: dict[str, bool] = {}
-    for i, (label, priority, keyword, pattern) in enumerate(_PATTERNS):
-        if keyword not in keyed:
-            keyed[keyword] = keyword in line
-        if keyed[keyword]:
+    for i, (label, priority, literal, pattern) in enumerate(_PATTERNS):
+        if literal not in keyed:
+            keyed[literal] = literal in line
+        if keyed[literal]:
             for m in pattern.finditer(line):
                 start = line.count(" ", 0, m.start()) - 1
                 hits.add((start, start + 1 + m.group().count(" "), priority, i, label))
