@@ -608,3 +608,15 @@ def test_license_patterns_detect_what_they_match():
             assert any(h[1:3] == (0, n) for h in hits), p
     for text, label in (("Tous droits réservés.", "all-rights-reserved"), ("same terms as Perl\nitself", "artistic"), ("SPDX-License-Identifier: 0BSD", "0bsd"), ("the ASL-2.0", "apache-2")):
         assert label in {h[0] for h in licenses.scan(text)[2]}, text
+
+
+def test_near_duplicates_with_long_boilerplate(spark, monkeypatch):
+    monkeypatch.setattr(bitsample, "CAP", 2)
+    rng, texts = random.Random(23), []
+    shared = prose(150, rng).split(" ")
+    for _ in range(300):
+        w = shared + prose(50, rng).split(" ")
+        texts += [" ".join(w), " ".join(w[:170] + prose(6, rng).split(" ") + w[176:])]
+    got = _classes(spark, texts)
+    assert _same_runs(texts[0], texts[1]) >= 0.8 > max(_same_runs(texts[0], x) for x in texts[2:])
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
