@@ -1,4 +1,4 @@
-"""python -m wavekeep.cli STORAGE INPUT BASED_ON: one wave of a Parquet file of transactions.
+"""python -m wavekeep.cli STORAGE INPUT [BASED_ON]: one wave of a Parquet file of transactions, on the newest version by default.
 
 Stage transactions keys them by their unique id; credits_and_invoices by supplier, absolute amount and
 sign, where rows that differ only in sign share a key.
@@ -31,10 +31,10 @@ def graph(spark: SparkSession, storage: str, value_type) -> Graph:
 
 
 def main(args: list[str]) -> None:
-    storage, path, based_on = args
+    storage, path, *based_on = args
     spark = SparkSession.builder.getOrCreate()
     wave = whole_file(spark, path)
-    report = graph(spark, storage, wave.schema["value"].dataType).update({"transactions": wave}, int(based_on))
+    report = graph(spark, storage, wave.schema["value"].dataType).update({"transactions": wave}, int(based_on[0]) if based_on else None)
     print(f"version {report.version}: " + ", ".join(f"{k} {v:.1f} s" for k, v in report.seconds.items()))
 
 

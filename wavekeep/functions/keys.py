@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_QUOTED = re.compile(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)")
+_KEY = re.compile(r"(?<![\w.])key(?!\w)")
+
 
 @dataclass(frozen=True)
 class KeySpec:
@@ -24,6 +28,11 @@ class KeySpec:
             return F.struct(*[_over(x, column).alias(f"g{i}") for i, x in enumerate(self.group)])
         return F.collate(F.col(column), self.collation) if self.collation else F.col(column)
 
+    def bucket(self, column: str, buckets: int) -> Column:
+        """0 to ``buckets`` - 1, equal for all keys of a group."""
+        same = F.expr(f"collation_key(collate(`{column}`, '{self.collation}'))") if self.collation and not self.group else self.of(column)
+        return F.pmod(F.xxhash64(same), F.lit(buckets)).cast("int")
+
     def sort(self, column: str) -> list[Column]:
         out = []
         for x in self.order or self.group or ("key",):
@@ -35,8 +44,9 @@ class KeySpec:
 
 
 def _over(text: str, column: str) -> Column:
-    """The expression with ``key`` bound to a column, whatever that column is called."""
-    return F.expr(f"element_at(transform(array(`{column}`), key -> {text}), 1)") if text != "key" else F.col(column)
+    """The expression with ``key`` (outside quotes) bound to a column, whatever that column is called."""
+    parts = _QUOTED.split(text)
+    return F.expr("".join(x if i % 2 else _KEY.sub(f"`{column}`", x) for i, x in enumerate(parts)))
 
 
 def match(left: DataFrame, right: DataFrame, how: str, on: str = "_g") -> DataFrame:

@@ -1,44 +1,52 @@
-"""Joins of sources with one key type and different value types, and their incremental form."""
+"""Joins of sources with one key type and different value types, as waves of a stage.
 
-from __future__ import annotations
+Either side's changed keys are affected, and a join is run anew for these only, on both sides' whole
+values in the new version. Keys join by their group, so a coarse key or a collation holds here as elsewhere.
+"""
 
-from collections.abc import Callable, Iterable
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.keys import KeySpec, match
-from ..sources.schema import DELETE, UPDATE, ddl
+from ..sources.schema import DELETE, ORD, UPDATE
 from .merge import affected_keys
 
 
-def equi_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """(key, value) of (key, value) sides; value is struct<left, right>. how: inner, left, right or full."""
-    a, b = left.select(F.col("key").alias("_a"), F.col("value").alias("left"), F.lit(True).alias("_x")), right.select(F.col("key").alias("_b"), F.col("value").alias("right"), F.lit(True).alias("_y"))
+def equi_join(left: DataFrame, right: DataFrame, how: str = "inner", spec: KeySpec = KeySpec()) -> DataFrame:
+    """(key, value) of (key, value) sides; value is struct<left, right>, and the key is the left one's where there is
+    a left one. how: inner, left, right or full."""
+    a = left.select(spec.of("key").alias("_a"), F.col("key").alias("_ka"), F.col("value").alias("left"), F.lit(True).alias("_x"))
+    b = right.select(spec.of("key").alias("_b"), F.col("key").alias("_kb"), F.col("value").alias("right"))
     rows = a.join(b, F.col("_a").eqNullSafe(F.col("_b")), {"full": "full_outer"}.get(how, how))
-    return rows.select(F.when(F.col("_x"), F.col("_a")).otherwise(F.col("_b")).alias("key"), F.struct("left", "right").alias("value"))
+    return rows.select(F.when(F.col("_x"), F.col("_ka")).otherwise(F.col("_kb")).alias("key"), F.struct("left", "right").alias("value"))
+
+
+def _of_affected(contents: tuple[DataFrame, DataFrame], affected: DataFrame, spec: KeySpec) -> list[DataFrame]:
+    rows = [c.select(F.col("target_key").alias("key"), "value", F.col(ORD).alias("ordinal")).withColumn("_g", spec.of("key")) for c in contents]
+    return [match(r, affected.select("_g"), "left_semi").drop("_g") for r in rows]
 
 
-def cogroup(left: DataFrame, right: DataFrame, fn: Callable[[Any, pd.DataFrame, pd.DataFrame], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str) -> DataFrame:
-    """``fn(key, left rows, right rows)`` yields (target key, value): any join of two lists a key."""
-    schema = T.StructType([T.StructField("target_key", ddl(target)), T.StructField("value", ddl(value))])
+def _wave(rows: DataFrame, affected: DataFrame, spec: KeySpec) -> DataFrame:
+    """Upserts of ``rows`` (key, value, ordinal), and a delete for each affected key without any."""
+    ups = rows.select(F.lit(UPDATE).alias("type"), "key", "value", "ordinal")
+    gone = match(affected, rows.select(spec.of("key").alias("_g")), "left_anti")
+    kind = rows.schema["value"].dataType
+    return ups.unionByName(gone.select(F.lit(DELETE).alias("type"), "key", F.lit(None).cast(kind).alias("value"), F.lit(0).cast("long").alias("ordinal")))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        made = list(fn((a if len(a) else b)["key"].iloc[0], a, b))
-        return pd.DataFrame({"target_key": [m[0] for m in made], "value": [m[1] for m in made]})
 
-    return left.select("key", "value").groupBy("key").cogroup(right.select("key", "value").groupBy("key")).applyInPandas(run, schema)
+def join_wave(feeds: tuple[DataFrame, DataFrame], contents: tuple[DataFrame, DataFrame], how: str = "inner", spec: KeySpec = KeySpec(), affected: DataFrame | None = None) -> DataFrame:
+    """A wave of pairs for a stage that holds a join. A changed key without result is a delete."""
+    affected = affected_keys(list(feeds), spec) if affected is None else affected
+    rows = equi_join(*_of_affected(contents, affected, spec), how, spec).withColumn("ordinal", F.lit(0).cast("long"))
+    return _wave(rows, affected, spec)
 
 
-def join_wave(feeds: tuple[DataFrame, DataFrame], contents: tuple[DataFrame, DataFrame], how: str = "inner", spec: KeySpec = KeySpec()) -> DataFrame:
-    """A wave for a stage that holds a join: the join is run anew for the keys that either side changed, on both
-    sides' whole values in the new version. A changed key without result is a delete."""
-    affected = affected_keys(list(feeds), spec)
-    sides = [match(c.select(F.col("target_key").alias("key"), "value").withColumn("_g", spec.of("key")), affected.select("_g"), "left_semi").select("key", "value") for c in contents]
-    rows = equi_join(*sides, how)
-    ups = rows.select(F.lit(UPDATE).alias("type"), "key", "value", F.lit(0).cast("long").alias("ordinal"))
-    gone = match(affected, rows.select(spec.of("key").alias("_g")).distinct(), "left_anti")
-    return ups.unionByName(gone.select(F.lit(DELETE).alias("type"), "key", F.lit(None).cast(rows.schema["value"].dataType).alias("value"), F.lit(0).cast("long").alias("ordinal")))
+def cogroup_wave(contents: tuple[DataFrame, DataFrame], affected: DataFrame, spec: KeySpec = KeySpec()) -> DataFrame:
+    """A wave of both sides' rows for a co-group: value is struct<side, left, right>, side 0 for left and 1 for right."""
+    a, b = _of_affected(contents, affected, spec)
+    kinds = [x.schema["value"].dataType for x in (a, b)]
+    cells = [F.struct(F.lit(0).alias("side"), F.col("value").alias("left"), F.lit(None).cast(kinds[1]).alias("right")), F.struct(F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("left"), F.col("value").alias("right"))]
+    rows = a.select("key", cells[0].alias("value"), "ordinal").unionByName(b.select("key", cells[1].alias("value"), "ordinal"))
+    return _wave(rows, affected, spec)

@@ -25,12 +25,12 @@ def augmented(feed: DataFrame, content: DataFrame, affected: DataFrame, spec: Ke
     return feed.select("type", "key", "value", "ordinal").unionByName(match(rows, silent, "left_semi").drop("_g"))
 
 
-def merge_sources(feeders: list[tuple[DataFrame, DataFrame]], spec: KeySpec = KeySpec()) -> DataFrame:
+def merge_sources(feeders: list[tuple[DataFrame, DataFrame]], spec: KeySpec = KeySpec(), affected: DataFrame | None = None) -> DataFrame:
     """One wave from (feed, content of the new version) of each feeder: a key that any feeder still has is
-    upserted with all its values, one that none has is deleted once."""
+    upserted with all its values, one that none has is deleted once. Contents may lack keys that no feed has."""
     if len(feeders) == 1:
         return feeders[0][0]
-    affected = affected_keys([f for f, _ in feeders], spec)
+    affected = affected_keys([f for f, _ in feeders], spec) if affected is None else affected
     rows = reduce(DataFrame.unionByName, [augmented(f, c, affected, spec) for f, c in feeders]).withColumn("_g", spec.of("key"))
     alive = rows.where(F.col("type") != DELETE)
     dead = match(rows.where(F.col("type") == DELETE), alive.select("_g").distinct(), "left_anti")

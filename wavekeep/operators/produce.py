@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,25 +48,53 @@ def _schema(source: T.DataType, target: T.DataType | str, value: T.DataType | st
     return T.StructType([T.StructField("source_key", source), T.StructField("target_key", ddl(target)), T.StructField("value", ddl(value)), T.StructField(ORD, T.LongType())])
 
 
-def _grouped(upserts: DataFrame, spec: KeySpec) -> DataFrame:
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType)
+
+
+def _grouped(upserts: DataFrame, spec: KeySpec, *first: Column) -> DataFrame:
+    """Rows by group, in each by ``first``, ordinal, then key and value, so that reruns see one order."""
     rows = upserts.withColumn("_g", spec.of("key"))
-    return rows.repartition("_g").sortWithinPartitions("_g", "ordinal")
+    last = [c for c in ("key", "value") if _sortable(upserts.schema[c].dataType)]
+    return rows.repartition("_g").sortWithinPartitions("_g", *first, "ordinal", *last)
+
+
+def _held(kind: pa.DataType) -> pd.ArrowDtype | None:
+    nested = pa.types.is_nested(kind)
+    return None if nested else pd.ArrowDtype(kind)
+
+
+def _plain(x: Any) -> Any:
+    """Missing values and scalars of pandas and numpy, also inside dicts and lists, as plain Python."""
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [_plain(v) for v in x]
+    if isinstance(x, np.generic):
+        return x.item()
+    return None if x is pd.NA else x
 
 
 def pandas(fn: Callable[[Any, pd.DataFrame], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str) -> Producer:
-    """``fn(key, rows)`` gets a key (that of the group's first row) and its rows by ordinal, and yields
-    (target key, value). A group is held in memory; for larger ones use ``arrow``."""
+    """``fn(key, rows)`` gets a key (that of the group's first row) and its rows by ordinal (columns value and
+    ordinal, Arrow-backed), and yields (target key, value). A group is held in memory; for larger ones use ``arrow``."""
 
     def apply(upserts: DataFrame, spec: KeySpec) -> DataFrame:
         schema = _schema(upserts.schema["key"].dataType, target, value)
+        types = to_arrow_schema(schema)
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("ordinal", kind="stable")
-            key = rows["key"].iloc[0]
-            made = list(fn(key, rows[["value", "ordinal"]]))
-            return pd.DataFrame({"source_key": [key] * len(made), "target_key": [m[0] for m in made], "value": [m[1] for m in made], ORD: range(len(made))})
+        def run(rows: pa.Table) -> pa.Table:
+            # Arrow-backed columns: whole numbers beside nulls stay whole
+            frame = rows.select(["key", "value", "ordinal"]).to_pandas(types_mapper=_held, integer_object_nulls=True)
+            key = rows.column("key")[0].as_py()
+            made = list(fn(key, frame[["value", "ordinal"]]))
+            return pa.Table.from_pylist([{"source_key": key, "target_key": _plain(t), "value": _plain(v), ORD: i} for i, (t, v) in enumerate(made)], types)
 
-        return _grouped(upserts, spec).groupBy("_g").applyInPandas(run, schema)
+        return _grouped(upserts, spec).groupBy("_g").applyInArrow(run, schema)
 
     return Producer(apply)
 
@@ -72,7 +102,10 @@ def pandas(fn: Callable[[Any, pd.DataFrame], Iterable[tuple[Any, Any]]], target:
 def arrow(fn: Callable[[Any, Iterator[Any]], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str, batch: int = 10_000) -> Producer:
     """``fn(key, values)`` gets a key and a single-use iterator over its values by ordinal: groups of any
     size stream through in Arrow batches. It need not use all values."""
+    return _streamed(fn, target, value, batch)
 
+
+def _streamed(fn: Callable[[Any, Iterator[Any]], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str, batch: int, *first: Column) -> Producer:
     def apply(upserts: DataFrame, spec: KeySpec) -> DataFrame:
         schema = _schema(upserts.schema["key"].dataType, target, value)
         types = to_arrow_schema(schema)
@@ -95,7 +128,7 @@ def arrow(fn: Callable[[Any, Iterator[Any]], Iterable[tuple[Any, Any]]], target:
                 ahead = values.rest(group)
             yield pa.RecordBatch.from_pylist(made, types)
 
-        return _grouped(upserts, spec).select("_g", "key", "value").mapInArrow(run, schema)
+        return _grouped(upserts, spec, *first).select("_g", "key", "value").mapInArrow(run, schema)
 
     return Producer(apply)
 
@@ -119,3 +152,29 @@ class _Values:
         while self.ahead is not None and self.ahead[0] == group:
             self.ahead = next(self.rows, None)
         return self.ahead
+
+
+def cogroup_native(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Producer:
+    """For a co-group: ``fn`` maps the sides, each (key, value, ordinal), to source_key, target_key, value and perhaps
+    ordinal, by DataFrame operations that never mix rows of different source keys."""
+
+    def side(u: DataFrame, i: int, name: str) -> DataFrame:
+        return u.where(F.col("value.side") == i).select("key", F.col(f"value.{name}").alias("value"), "ordinal")
+
+    return native(lambda u: fn(side(u, 0, "left"), side(u, 1, "right")))
+
+
+def cogroup_arrow(fn: Callable[[Any, list, Iterator[Any]], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str, batch: int = 10_000) -> Producer:
+    """For a co-group: ``fn(key, left values, right values)`` yields (target key, value). The left side of a key is
+    held in memory, the right one streams through: any join of two lists a key, the many on the right."""
+
+    def split(key: Any, values: Iterator[Any]) -> Iterable[tuple[Any, Any]]:
+        rows, left, first = iter(values), [], []
+        for v in rows:
+            if v["side"]:
+                first.append(v["right"])
+                break
+            left.append(v["left"])
+        return fn(key, left, chain(first, (v["right"] for v in rows)))
+
+    return _streamed(split, target, value, batch, F.col("value.side"))

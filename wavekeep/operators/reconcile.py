@@ -1,4 +1,4 @@
-"""One stage, one wave: from the version before and the changes to the next version and the change feed."""
+"""One stage, one wave: what the changed source keys had and have, the next version and the change feed."""
 
 from __future__ import annotations
 
@@ -9,74 +9,94 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import KeySpec, match
 from ..sources.schema import ADD, DELETE, ORD, UPDATE
-from ..sources.store import settle
-from .preserve import Preserve, preserve
-from .produce import Producer
+
+CONTENT = ("target_key", "source_key", "value", ORD)
+MAPPING = ("source_key", "target_key")
 
 
 @dataclass
 class StageState:
     content: DataFrame  # target_key, source_key, value, _ord
     key_mappings: DataFrame  # source_key, target_key: a row for each row of content
-    updates: DataFrame | None  # type, key, value, ordinal
-    top_id: int = 0
 
 
-def changed_groups(updates: DataFrame, spec: KeySpec) -> DataFrame:
-    return updates.select(spec.of("key").alias("_g")).distinct()
+def changed_keys(updates: DataFrame, spec: KeySpec) -> DataFrame:
+    """One key of each group that a wave changes."""
+    return updates.groupBy(spec.of("key").alias("_g")).agg(F.first("key").alias("key")).select("key")
+
+
+def groups(keys: DataFrame, spec: KeySpec) -> DataFrame:
+    return keys.select(spec.of("key").alias("_g"))
+
+
+def next_content(content: DataFrame, changed: DataFrame, produced: DataFrame, spec: KeySpec) -> DataFrame:
+    """The rows of unchanged source keys, and those produced."""
+    kept = match(content.withColumn("_g", spec.of("source_key")), groups(changed, spec), "left_anti")
+    return kept.select(*CONTENT).unionByName(produced.select(*CONTENT))
+
+
+def next_mappings(mappings: DataFrame, changed: DataFrame, produced: DataFrame, spec: KeySpec) -> DataFrame:
+    kept = match(mappings.withColumn("_g", spec.of("source_key")), groups(changed, spec), "left_anti")
+    return kept.select(*MAPPING).unionByName(produced.select(*MAPPING))
+
+
+def touched_keys(mappings: DataFrame, changed: DataFrame, produced: DataFrame, source: KeySpec, target: KeySpec) -> DataFrame:
+    """(key, removed) for each target key that a changed source key had or has: one of its full keys (that of
+    its first lost row), and how many rows it loses. Lineage alone tells, content isn't read."""
+    lost = match(mappings.withColumn("_g", source.of("source_key")), groups(changed, source), "left_semi")
+    rows = lost.select("target_key", "source_key", F.lit(1).alias("lost")).unionByName(produced.select("target_key", "source_key", F.lit(0).alias("lost")))
+    first = F.min_by("target_key", F.struct((1 - F.col("lost")).alias("late"), F.col("source_key")))
+    return rows.groupBy(target.of("target_key").alias("_g")).agg(first.alias("key"), F.sum("lost").alias("removed")).select("key", "removed")
 
 
-def update_stage(
-    before: StageState,
-    updates: DataFrame,
-    producer: Producer,
-    source_keys: KeySpec = KeySpec(),
-    target_keys: KeySpec = KeySpec(),
-    preserved: Preserve | None = None,
-    emit_updates: bool = True,
-    suppress_unchanged: bool = False,
-) -> StageState:
-    """Re-derives what the changed source keys produce; all else is carried over.
+def with_past(touched: DataFrame, content: DataFrame, changed: DataFrame, source: KeySpec, target: KeySpec) -> DataFrame:
+    """``touched`` with ``known``, whether the key had rows in ``content``, and ``torn``, whether lineage and
+    content disagree about the rows that it loses."""
+    mine = touched.select("key", "removed", target.of("key").alias("_g"))
+    rows = match(content.select(target.of("target_key").alias("_g"), source.of("source_key").alias("_s")), mine.select("_g"), "left_semi")
+    rows = match(rows, changed.select(source.of("key").alias("_s"), F.lit(1).alias("hit")), "left", on="_s")
+    past = rows.groupBy("_g").agg(F.count("*").alias("had"), F.count("hit").alias("gone"))
+    out = match(mine, past, "left")
+    return out.select("key", F.col("had").isNotNull().alias("known"), (F.coalesce("gone", F.lit(0)) != F.col("removed")).alias("torn"))
 
-    The produced rows are settled, as three outputs come from them. Lineage (key_mappings) finds the
-    target keys that lose rows without reading content.
+
+def unchanged(before: DataFrame, after: DataFrame, spec: KeySpec) -> DataFrame:
+    """Groups whose rows are the same in both contents."""
+
+    def bag(df: DataFrame) -> DataFrame:
+        return df.groupBy(spec.of("target_key").alias("_g")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("target_key", "source_key", "value").cast("decimal(38,0)")).alias("h"))
+
+    both = match(bag(after), bag(before).withColumnsRenamed({"n": "n0", "h": "h0"}), "inner")
+    return both.where("n = n0 and h = h0").select("_g")
+
+
+def change_feed(touched: DataFrame | None, content: DataFrame, spec: KeySpec, before: DataFrame | None = None) -> DataFrame:
+    """For each touched target key: one delete if ``content``, the new one, has nothing of it, else all its
+    rows. The first row of a key that was not known before is an add, all others are updates.
+
+    touched: (key, known); None if the stage was empty, so that all of ``content`` is new. before: the
+    content before, to leave out the keys whose rows are as they were.
     """
-    produced = producer.apply(updates.where(F.col("type") != DELETE).select("key", "value", "ordinal"), source_keys)
-    produced = settle(produced.select("source_key", "target_key", "value", ORD))
-    top = before.top_id
-    if preserved is not None:
-        produced, top = preserve(produced, before.content, preserved, target_keys, before.top_id)
-        produced = settle(produced)
-    changed = changed_groups(updates, source_keys)
-    content = match(before.content.withColumn("_g", source_keys.of("source_key")), changed, "left_anti").drop("_g").unionByName(produced)
-    content = content.select("target_key", "source_key", "value", ORD)
-    lineage = before.key_mappings.withColumn("_g", source_keys.of("source_key"))
-    mappings = match(lineage, changed, "left_anti").select("source_key", "target_key").unionByName(produced.select("source_key", "target_key"))
-    feed = change_feed(before, match(lineage, changed, "left_semi"), produced, content, target_keys, suppress_unchanged) if emit_updates else None
-    return StageState(content, mappings, feed, top)
-
-
-def change_feed(before: StageState, removed: DataFrame, produced: DataFrame, content: DataFrame, spec: KeySpec, suppress_unchanged: bool = False) -> DataFrame:
-    """For each target key that a changed source key had or has: one delete if nothing of it is left, else all
-    its rows. The first row of a key that was not there before is an add, all others are updates."""
-    touched = removed.select("target_key", "source_key").unionByName(produced.select("target_key", "source_key")).withColumn("_g", spec.of("target_key"))
-    touched = touched.groupBy("_g").agg(F.min_by("target_key", F.struct(F.col("source_key"))).alias("key"))
     after = content.withColumn("_g", spec.of("target_key"))
-    old = before.content.select(spec.of("target_key").alias("_g"))
-    if suppress_unchanged:
-        bag = lambda df: df.groupBy("_g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("target_key", "source_key", "value").cast("decimal(38,0)")).alias("h"))
-        same = match(bag(after), bag(before.content.withColumn("_g", spec.of("target_key"))).withColumnsRenamed({"n": "n0", "h": "h0"}), "inner").where("n = n0 and h = h0").select("_g")
-        touched = match(touched, same, "left_anti")
-    gone = match(touched, after.select("_g").distinct(), "left_anti")
-    kind = content.schema["value"].dataType
-    gone = gone.select(F.lit(DELETE).alias("type"), "key", F.lit(None).cast(kind).alias("value"), F.lit(0).cast("long").alias("ordinal"))
-    fresh = match(touched.select("_g"), old.distinct(), "left_anti")
-    first = match(after, fresh, "left_semi").groupBy("_g").agg(F.min(F.struct("source_key", ORD)).alias("_first"))
-    rows = match(match(after, touched.select("_g"), "left_semi"), first, "left")
+    gone = None
+    if touched is None:
+        fresh = after
+    else:
+        touched = touched.withColumn("_g", spec.of("key"))
+        if before is not None:
+            touched = match(touched, unchanged(before, content, spec), "left_anti")
+        gone = match(touched.where("known"), after.select("_g"), "left_anti")
+        after = match(after, touched.select("_g", "known"), "inner")
+        fresh = after.where("not known")
+    first = fresh.groupBy("_g").agg(F.min(F.struct("source_key", ORD)).alias("_first"))
+    rows = match(after, first, "left")
     lead = F.col("_first").isNotNull() & F.struct("source_key", ORD).eqNullSafe(F.col("_first"))
     # only rows that may be the first are numbered together; the others are spread
     spread = F.when(lead, F.lit(0)).otherwise(F.pmod(F.xxhash64("source_key", ORD), F.lit(64)) + 1)
     number = F.row_number().over(Window.partitionBy("_g", "_lead", "_spread").orderBy("source_key", ORD))
     rows = rows.withColumn("_lead", lead).withColumn("_spread", spread).withColumn("_n", number)
-    kept = rows.select(F.when(F.col("_lead") & (F.col("_n") == 1), ADD).otherwise(UPDATE).alias("type"), F.col("target_key").alias("key"), "value", F.col(ORD).alias("ordinal"))
-    return gone.unionByName(kept)
+    out = rows.select(F.when(F.col("_lead") & (F.col("_n") == 1), ADD).otherwise(UPDATE).alias("type"), F.col("target_key").alias("key"), "value", F.col(ORD).alias("ordinal"))
+    if gone is None:
+        return out
+    kind = content.schema["value"].dataType
+    return out.unionByName(gone.select(F.lit(DELETE).alias("type"), "key", F.lit(None).cast(kind).alias("value"), F.lit(0).cast("long").alias("ordinal")))

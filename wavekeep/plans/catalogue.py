@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,13 +12,12 @@ from ..functions.keys import KeySpec
 from ..functions.text import copies, words
 from ..operators import feed as feeds
 from ..operators import produce
-from ..operators.join import cogroup
 from ..operators.merge import affected_keys, augmented
 from ..operators.preserve import Preserve
 from ..operators.produce import Producer, identity, native
-from ..sources.readers import deletes, keyed
+from ..sources.readers import deletes, keyed, whole_file
 from ..sources.schema import DELETE, as_updates
-from ..sources.store import ParquetStore
+from ..sources.store import ParquetStore, session_store, shared_dir
 from ..streaming.waves import stream_graph
 from .graph import Graph, Stage
 
@@ -139,18 +138,19 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def custs_graph(spark: SparkSession, d: str) -> Stage:
-    """Orders 1 to half the most, then a wave with the rest and deletes of every third of the first."""
+    """Orders of customers of even number, then a wave with the rest and deletes of every third of the first."""
     g = Graph(spark)
     s = g.source("o", "bigint", "bigint", rekey("value", "1L"), target_key="bigint", target_value="bigint")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     wave = lambda df: keyed(df, F.col("o_orderkey"), F.col("o_custkey"))
-    g.update({"o": wave(orders.where("o_orderkey % 2 = 0"))})
-    gone = deletes(orders.where("o_orderkey % 2 = 0 and o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key")), wave(orders))
-    g.update({"o": wave(orders.where("o_orderkey % 8 = 1")).unionByName(gone)})
+    first, third = "o_custkey % 2 = 0", "o_custkey % 2 = 0 and o_custkey % 3 = 0"
+    g.update({"o": wave(orders.where(first))})
+    gone = deletes(orders.where(third).select(F.col("o_orderkey").alias("key")), wave(orders))
+    g.update({"o": wave(orders.where(f"not ({first})")).unionByName(gone)})
     return s
 
 
-_WAS, _IS = "(SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)", "(SELECT o_custkey FROM orders WHERE (o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0) OR o_orderkey % 8 = 1)"
+_WAS, _IS = "(SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)", "(SELECT o_custkey FROM orders WHERE o_custkey % 2 <> 0 OR o_custkey % 3 <> 0)"
 
 
 @query(f"SELECT DISTINCT o_custkey AS key FROM {_IS} i WHERE o_custkey NOT IN {_WAS}")
@@ -382,19 +382,20 @@ def composite_coarse_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ids_graph(spark: SparkSession, d: str, waves: int) -> Stage:
-    """Brands of parts with ids: parts of odd number first, then the rest."""
+    """Brands and sizes of parts with ids: all parts in one wave, or parts of odd size first, then the rest."""
     g = Graph(spark)
     s = g.source("parts", "bigint", "string", native(lambda u: u.select(F.col("key").alias("source_key"), F.col("value").alias("target_key"), F.struct(F.lit(0).cast("bigint").alias("id")).alias("value"))), target_key="string", target_value="struct<id:bigint>", preserved=Preserve(("id",)))
     part = table(spark, d, "part")
     for i in range(waves):
-        g.update({"parts": keyed(part.where(f"(p_size % 2 = 1) = {i == 0}"), F.col("p_partkey"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))})
+        g.update({"parts": keyed(part.where("true" if waves == 1 else f"(p_size % 2 = 1) = {i == 0}"), F.col("p_partkey"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))})
     return s
 
 
-_IDS = "SELECT b AS brand, CAST(row_number() OVER (ORDER BY b) AS BIGINT) AS id FROM (SELECT DISTINCT p_brand || '/' || CAST(p_size AS VARCHAR) AS b FROM part WHERE p_size % 2 = 1) x"
+_BRANDS = "SELECT b AS brand, CAST(row_number() OVER (ORDER BY b) AS BIGINT) AS id FROM (SELECT DISTINCT p_brand || '/' || CAST(p_size AS VARCHAR) AS b FROM part) x"
+_IDS = _BRANDS.replace("FROM part", "FROM part WHERE p_size % 2 = 1")
 
 
-@query(_IDS)
+@query(_BRANDS)
 def preserve_ids(spark: SparkSession, d: str) -> DataFrame:
     return ids_graph(spark, d, 1).read().select(F.col("target_key").alias("brand"), "value.id").distinct()
 
@@ -437,20 +438,79 @@ def join_incremental_full(spark: SparkSession, d: str) -> DataFrame:
     return joined(spark, d, "full")
 
 
-@query("SELECT c_custkey AS cust, c_name AS name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
+def cogrouped(spark: SparkSession, d: str, producer: Producer) -> DataFrame:
+    """Customers beside their orders; then every seventh order and every ninth customer goes."""
+    g = Graph(spark)
+    c = g.source("c", "bigint", "string")
+    o = g.source("o", "bigint", "bigint", native(lambda u: u.select(F.col("key").alias("source_key"), F.col("value").alias("target_key"), F.col("key").alias("value"))), target_key="bigint", target_value="bigint")
+    both = c.cogroups("both", o, producer, "bigint", "struct<name:string,n:bigint>")
+    customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    names, wave = keyed(customer, F.col("c_custkey"), F.col("c_name")), keyed(orders, F.col("o_orderkey"), F.col("o_custkey"))
+    g.update({"c": names, "o": wave})
+    g.update({"o": deletes(orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("key")), wave)})
+    g.update({"c": deletes(customer.where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("key")), names)})
+    return both.read().select(F.col("target_key").alias("cust"), "value.name", "value.n")
+
+
+def counted_beside(how: str) -> Producer:
+    """The names of a key with the number of values on the other side."""
+
+    def made(left: DataFrame, right: DataFrame) -> DataFrame:
+        n = right.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"))
+        rows = left.join(n, F.col("key").eqNullSafe(F.col("k")), how)
+        return rows.select(F.col("key").alias("source_key"), F.col("key").alias("target_key"), F.struct(F.col("value").alias("name"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n")).alias("value"), "ordinal")
+
+    return produce.cogroup_native(made)
+
+
+_BESIDE = "SELECT c_custkey AS cust, c_name AS name, count(o_orderkey) AS n FROM (SELECT * FROM customer WHERE c_custkey % 9 <> 0) c {} JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON c_custkey = o_custkey GROUP BY 1, 2"
+
+
+@query(_BESIDE.format(""))
 def cogroup_inner(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
-    made = lambda key, x, y: [(key, {"name": v, "n": len(y)}) for v in x["value"]] if len(y) else []
-    return cogroup(a, b, made, "bigint", "struct<name:string,n:bigint>").select(F.col("target_key").alias("cust"), "value.name", "value.n")
+    return cogrouped(spark, d, counted_beside("inner"))
 
 
-@query("SELECT c_custkey AS cust, c_name AS name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
+@query(_BESIDE.format("LEFT"))
 def cogroup_left(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
-    made = lambda key, x, y: [(key, {"name": v, "n": len(y)}) for v in x["value"]]
-    return cogroup(a, b, made, "bigint", "struct<name:string,n:bigint>").select(F.col("target_key").alias("cust"), "value.name", "value.n")
+    return cogrouped(spark, d, counted_beside("left"))
+
+
+def _beside(key, names, orders):
+    n = sum(1 for _ in orders)
+    for name in names:
+        yield key, {"name": name, "n": n}
+
+
+@query(_BESIDE.format("LEFT"))
+def cogroup_arrow(spark: SparkSession, d: str) -> DataFrame:
+    return cogrouped(spark, d, produce.cogroup_arrow(_beside, "bigint", "struct<name:string,n:bigint>"))
+
+
+@query(
+    "SELECT upper(substr(c_mktsegment, 1, 1)) || '/' || CAST(c_nationkey AS VARCHAR) AS grp, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS left_sum, CAST(sum(s_suppkey) AS BIGINT) AS right_sum "
+    "FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c JOIN (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 'B' ELSE 'F' END AS f FROM supplier) s ON c_nationkey = s_nationkey AND substr(c_mktsegment, 1, 1) = f GROUP BY 1"
+)
+def join_coarse_key(spark: SparkSession, d: str) -> DataFrame:
+    """A join on keys that agree in part only: letters count without case, and a last field of the key not at all."""
+    coarse = KeySpec(("upper(key.letter)", "key.nation"))
+    kind = "struct<letter:string,nation:int,id:bigint>"
+
+    def side(letter: str) -> Producer:
+        key = F.struct(F.expr(letter).alias("letter"), F.col("value.nation").alias("nation"), F.col("key").alias("id"))
+        return native(lambda u: u.select(F.col("key").alias("source_key"), key.alias("target_key"), F.col("key").alias("value"), "ordinal"))
+
+    g = Graph(spark)
+    value = "struct<nation:int,word:string>"
+    c = g.source("c", "bigint", value, side("upper(substr(value.word, 1, 1))"), target_key=kind, target_value="bigint", target_keys=coarse)
+    s = g.source("s", "bigint", value, side("lower(substr(value.word, 1, 1))"), target_key=kind, target_value="bigint", target_keys=coarse)
+    both = c.joins("both", s)
+    customer, supplier = table(spark, d, "customer"), table(spark, d, "supplier")
+    wave = keyed(customer, F.col("c_custkey"), F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("word")))
+    g.update({"c": wave, "s": keyed(supplier, F.col("s_suppkey"), F.struct(F.col("s_nationkey").alias("nation"), F.expr("if(s_suppkey % 2 = 0, 'B', 'F')").alias("word")))})
+    g.update({"c": deletes(customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key")), wave)})
+    rows = both.read().select(F.concat_ws("/", F.upper("target_key.letter"), F.col("target_key.nation").cast("string")).alias("grp"), "value")
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("value.left").alias("left_sum"), F.sum("value.right").alias("right_sum"))
 
 
 @query(f"SELECT o_custkey % 100 AS key, count(*) AS n, CAST(sum(price) AS DECIMAL(28,2)) AS total FROM (SELECT * FROM {ORDERS} WHERE price < 100000 UNION ALL SELECT * FROM {ORDERS} WHERE price >= 50000) x GROUP BY 1")
@@ -482,10 +542,87 @@ def multi_root_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT o_custkey AS target_key, o_orderkey AS source_key, price FROM {ORDERS_1}")
 def version_time_travel(spark: SparkSession, d: str) -> DataFrame:
-    """Version 1 read after version 2, from Parquet files in the shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="versions-")
-    s = orders_graph(spark, d, store=ParquetStore(f"{root}/versions-{spark.sparkContext.applicationId}-{id(object())}"))[1]
-    return flat(s.read(version=1))
+    """Version 1 read after version 2."""
+    return flat(orders_graph(spark, d)[1].read(version=1))
+
+
+@query(f"SELECT 3 AS version, o_custkey AS cust, CAST(sum(price) AS DECIMAL(28,2)) AS total FROM (SELECT * FROM {ORDERS} WHERE o_orderkey % 11 <> 0) x GROUP BY o_custkey UNION ALL SELECT 1, o_custkey, CAST(sum(price) AS DECIMAL(28,2)) FROM {ORDERS_1} GROUP BY o_custkey")
+def reopened_store(spark: SparkSession, d: str) -> DataFrame:
+    """A third wave by a graph that opens the store anew, and version 1 read by yet another: both as they should be."""
+    below = lambda s: s.produces("totals", totals("value.price"), "bigint", TOTALS)
+    store = session_store(spark)
+    orders_graph(spark, d, below, store=store)
+    g = Graph(spark, ParquetStore(store.root))
+    below(g.source("by_customer", "bigint", PRICED, rekey("value.cust"), target_key="bigint", target_value=PRICED))
+    orders = table(spark, d, "orders")
+    like = keyed(orders, F.col("o_orderkey"), F.struct(F.col("o_custkey").alias("cust"), price("o_totalprice").alias("price")))
+    g.update({"by_customer": deletes(orders.where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("key")), like)})
+    again = Graph(spark, ParquetStore(store.root))
+    s = below(again.source("by_customer", "bigint", PRICED, rekey("value.cust"), target_key="bigint", target_value=PRICED))
+    versions = [s.read(version=v).select(F.lit(v).alias("version"), F.col("target_key").alias("cust"), "value.total") for v in (again.version, 1)]
+    return versions[0].unionByName(versions[1])
+
+
+@query("SELECT 'update' AS type, o_custkey AS key, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) GROUP BY o_custkey")
+def suppressed_feed(spark: SparkSession, d: str) -> DataFrame:
+    """All orders are sent again, every fifth with another price: only customers with one of those are in the feed."""
+    g = Graph(spark)
+    s = g.source("o", "bigint", PRICED, rekey("value.cust", "value.price"), target_key="bigint", target_value="decimal(18,2)", suppress_unchanged=True)
+    orders = table(spark, d, "orders")
+    wave = lambda more: keyed(orders, F.col("o_orderkey"), F.struct(F.col("o_custkey").alias("cust"), (price("o_totalprice") + F.expr(more)).cast("decimal(18,2)").alias("price")))
+    g.update({"o": wave("0")})
+    g.update({"o": wave("if(o_orderkey % 5 = 0, 1, 0)")})
+    return s.read("updates").groupBy("type", "key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS feed_rows, (SELECT count(*) FROM supplier) AS content_rows FROM supplier WHERE false")
+def no_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A stage that is told to write no feed has its content all the same."""
+    g = Graph(spark)
+    s = g.source("s", "bigint", "string", emit_updates=False)
+    g.update({"s": keyed(table(spark, d, "supplier"), F.col("s_suppkey"), F.col("s_name"))})
+    return s.read("updates").agg(F.count("*").alias("feed_rows")).crossJoin(s.read().agg(F.count("*").alias("content_rows")))
+
+
+@query("SELECT 'nation.parquet' AS source_key, n_regionkey AS target_key, n_name AS name FROM nation")
+def whole_file_key(spark: SparkSession, d: str) -> DataFrame:
+    """A file under its own name: sending it again replaces all that it made."""
+    g = Graph(spark)
+    wave = whole_file(spark, f"{d}/nation.parquet")
+    kind = wave.schema["value"].dataType
+    s = g.source("files", "string", kind, rekey("value.n_regionkey", "value.n_name"), target_key=kind["n_regionkey"].dataType, target_value="string")
+    g.update({"files": wave})
+    g.update({"files": wave})
+    return s.read().select("source_key", "target_key", F.col("value").alias("name"))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey AS cust, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE min(c_custkey) OVER (PARTITION BY c_nationkey) END AS first FROM customer")
+def preserve_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Values that take their first writer from an example: in the first wave that of the key's first row; the second
+    wave sends every third customer under a flag that takes its own number instead."""
+    kind = "struct<first:bigint,own:boolean>"
+    keep = lambda new, old: F.struct(F.when(new["own"] | old.isNull(), new["first"]).otherwise(old["first"]).alias("first"), new["own"].alias("own"))
+    g = Graph(spark)
+    made = native(lambda u: u.select(F.col("key").alias("source_key"), F.col("value.nation").alias("target_key"), F.struct(F.col("key").alias("first"), F.col("value.own").alias("own")).alias("value")))
+    s = g.source("c", "bigint", "struct<nation:bigint,own:boolean>", made, target_key="bigint", target_value=kind, preserved=Preserve(merge=keep))
+    customer = table(spark, d, "customer")
+    wave = lambda df, own: keyed(df, F.col("c_custkey"), F.struct(F.col("c_nationkey").cast("bigint").alias("nation"), F.lit(own).alias("own")))
+    g.update({"c": wave(customer, False)})
+    g.update({"c": wave(customer.where("c_custkey % 3 = 0"), True)})
+    return s.read().select(F.col("target_key").alias("nation"), F.col("source_key").alias("cust"), "value.first")
+
+
+@query("SELECT count(DISTINCT p_brand) AS keys, count(DISTINCT p_brand) AS ids, CAST(0 AS BIGINT) AS changed FROM part")
+def preserve_uuids(spark: SparkSession, d: str) -> DataFrame:
+    """One identifier a brand, the same before and after half of the parts are sent again."""
+    g = Graph(spark)
+    made = native(lambda u: u.select(F.col("key").alias("source_key"), F.col("value").alias("target_key"), F.struct(F.lit("").alias("id")).alias("value")))
+    s = g.source("p", "bigint", "string", made, target_key="string", target_value="struct<id:string>", preserved=Preserve(("id",), "uuid"))
+    part = table(spark, d, "part")
+    g.update({"p": keyed(part, F.col("p_partkey"), F.col("p_brand"))})
+    g.update({"p": keyed(part.where("p_partkey % 2 = 0"), F.col("p_partkey"), F.col("p_brand"))})
+    old, new = (s.read(version=v).select("target_key", F.col("value.id").alias(f"id{v}")).distinct() for v in (1, 2))
+    return old.join(new, "target_key").agg(F.countDistinct("target_key").alias("keys"), F.countDistinct("id2").alias("ids"), F.count_if(F.col("id1") != F.col("id2")).alias("changed"))
 
 
 @query("SELECT user_id AS key, count(*) AS n FROM events GROUP BY user_id")
@@ -496,6 +633,5 @@ def stream_waves(spark: SparkSession, d: str) -> DataFrame:
     n = s.produces("per_user", counted, "bigint", "bigint")
     kind = table(spark, d, "events").schema
     rows = spark.readStream.schema(kind).option("pathGlobFilter", "events*.parquet").parquet(d)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    stream_graph(g, "events", rows, f"{root}/stream-{spark.sparkContext.applicationId}-{id(g)}", lambda b: keyed(b, F.col("event_id"), F.col("user_id"))).awaitTermination()
+    stream_graph(g, "events", rows, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", lambda b: keyed(b, F.col("event_id"), F.col("user_id"))).awaitTermination()
     return n.read().select(F.col("target_key").alias("key"), F.col("value").alias("n"))

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from ..functions.keys import KeySpec
-from ..operators.join import join_wave
-from ..operators.merge import merge_sources
-from ..operators.preserve import Preserve
+from ..operators import reconcile as r
+from ..operators.join import cogroup_wave, join_wave
+from ..operators.merge import affected_keys, merge_sources
+from ..operators.preserve import Preserve, preserve
 from ..operators.produce import Producer, identity
-from ..operators.reconcile import StageState, update_stage
-from ..sources.schema import ORD, check_wave, content_schema, ddl, empty, mappings_schema, updates_schema
-from ..sources.store import MemoryStore, Store
+from ..sources.schema import DELETE, ORD, WaveError, check_shape, check_wave, content_schema, ddl, empty, mappings_schema, updates_schema
+from ..sources.store import Scratch, Store, session_store
 
 log = logging.getLogger(__name__)
 
@@ -34,18 +39,24 @@ class Stage:
     source_keys: KeySpec
     target_keys: KeySpec
     preserved: Preserve | None = None
-    emit_updates: bool = True
-    how: str | None = None  # of a join
+    emit_updates: bool = True  # the feed of a stage that feeds others is written all the same
+    suppress_unchanged: bool = False  # keys whose rows are as before stay out of the feed
+    how: str | None = None  # of a join; "cogroup" for a co-group
     targets: list[Stage] = field(default_factory=list)
 
     def produces(self, name: str, producer: Producer, target_key: T.DataType | str, value: T.DataType | str, also: tuple[Stage, ...] = (), **options) -> Stage:
         """A stage fed by this one and ``also``, whose values have the same types."""
         return self.graph._stage(name, producer, [self, *also], target_key, value, **options)
 
-    def joins(self, name: str, other: Stage, how: str = "inner") -> Stage:
+    def joins(self, name: str, other: Stage, how: str = "inner", **options) -> Stage:
         """A stage with the join of this one's and another's values by key: struct<left, right>."""
         value = T.StructType([T.StructField("left", self.value_type), T.StructField("right", other.value_type)])
-        return self.graph._stage(name, identity(), [self, other], self.target_type, value, how=how)
+        return self.graph._stage(name, identity(), [self, other], self.target_type, value, how=how, **options)
+
+    def cogroups(self, name: str, other: Stage, producer: Producer, target_key: T.DataType | str, value: T.DataType | str, **options) -> Stage:
+        """A stage that makes rows from both sides' values of a key, by a producer of ``cogroup_native`` or
+        ``cogroup_arrow``."""
+        return self.graph._stage(name, producer, [self, other], target_key, value, how="cogroup", **options)
 
     def read(self, kind: str = "content", version: int | None = None) -> DataFrame:
         return self.graph.read(self.name, kind, version)
@@ -55,12 +66,17 @@ class Stage:
 class WaveReport:
     version: int
     seconds: dict[str, float]
+    rows: dict[str, dict[str, int]]  # by stage: rows written of content and key_mappings, of the feed, keys touched
 
 
 class Graph:
+    """Opens at the newest version of its store. Waves may come from any process, one at a time: a version whose
+    number another process has taken meanwhile is not committed."""
+
     def __init__(self, spark: SparkSession, store: Store | None = None):
-        self.spark, self.store, self.stages, self.version = spark, store or MemoryStore(), {}, 0
-        self.tag = f"graph-{id(self)}"
+        self.spark, self.store, self.stages = spark, store or session_store(spark), {}
+        self.version = max(self.store.versions(spark), default=0)
+        self.tag = f"graph-{uuid.uuid4().hex}"
 
     def source(self, name: str, key: T.DataType | str, value: T.DataType | str, producer: Producer | None = None, **options) -> Stage:
         """A root: waves are given to it from outside."""
@@ -69,10 +85,15 @@ class Graph:
     def _stage(self, name: str, producer: Producer, sources: list[Stage], target_key, value, source_type: T.DataType | None = None, **options) -> Stage:
         if name in self.stages:
             raise ValueError(f"there is a stage {name} already")
+        if name[:1] in ("_", ".") or "/" in name:
+            raise ValueError(f"{name} can't be a folder of the store")
         if len({id(s) for s in sources}) < len(sources):
             raise ValueError(f"{name} has a source twice")
+        if any(s.target_type != sources[0].target_type for s in sources):
+            raise ValueError(f"the sources of {name} have different key types")
         keys = options.pop("source_keys", sources[0].target_keys if sources else KeySpec())
-        stage = Stage(self, name, producer, sources, source_type or sources[0].target_type, ddl(target_key), ddl(value), keys, options.pop("target_keys", keys if options.get("how") else KeySpec()), **options)
+        joined = options.get("how") not in (None, "cogroup")
+        stage = Stage(self, name, producer, sources, source_type or sources[0].target_type, ddl(target_key), ddl(value), keys, options.pop("target_keys", keys if joined else KeySpec()), **options)
         for s in sources:
             s.targets.append(stage)
         self.stages[name] = stage
@@ -85,76 +106,196 @@ class Graph:
             return mappings_schema(stage.source_type, stage.target_type)
         return updates_schema(stage.target_type, stage.value_type)
 
-    def _manifest(self, version: int) -> dict:
+    def _held(self, version: int) -> dict[str, dict]:
         if not version:
-            return {"stages": {}}
+            return {}
         found = self.store.manifest(self.spark, version)
         if found is None:
             raise ValueError(f"there is no version {version}")
-        return found
+        return found["stages"]
 
-    def _read(self, stage: Stage, kind: str, at: dict) -> DataFrame:
-        held = at["stages"].get(stage.name)
-        schema = self._schema(stage, kind)
-        return empty(self.spark, schema) if held is None else self.store.read(self.spark, stage.name, kind, held["version"], schema)
+    def _read(self, stage: Stage, kind: str, held: dict | None, only: set[int] | None = None) -> DataFrame:
+        return self.store.read(self.spark, stage.name, kind, held, self._schema(stage, kind), only)
 
-    def read(self, name: str, kind: str = "content", version: int | None = None) -> DataFrame:
-        """A dataset as of a version, the latest by default. The feed is that of the stage's last wave."""
-        df = self._read(self.stages[name], kind, self._manifest(self.version if version is None else version))
+    def read(self, name: str, kind: str = "content", version: int | None = None, ordered: bool = False) -> DataFrame:
+        """A dataset as of a version, the latest by default; ``ordered`` sorts it by its keys. The feed is that of
+        the stage's last wave."""
+        stage = self.stages[name]
+        df = self._read(stage, kind, self._held(self.version if version is None else version).get(name))
+        if ordered:
+            df = df.orderBy(*self._sort(stage, kind))
         return df.drop(ORD) if kind == "content" else df
 
-    def _order(self, roots: list[str]) -> list[Stage]:
-        reached, todo = set(), [self.stages[r] for r in roots]
+    def _sort(self, stage: Stage, kind: str) -> list[Column]:
+        if kind == "updates":
+            return stage.target_keys.sort("key")
+        target, source = stage.target_keys.sort("target_key"), stage.source_keys.sort("source_key")
+        return [*target, *source, F.col(ORD)] if kind == "content" else [*source, *target]
+
+    def _levels(self, roots: list[str]) -> list[list[Stage]]:
+        """The stages that a wave reaches, in steps: those of one step don't depend on each other."""
+        reached, todo = set(), [self.stages[x] for x in roots]
         while todo:
             s = todo.pop()
             if s.name not in reached:
                 reached.add(s.name)
                 todo += s.targets
-        order = TopologicalSorter({s.name: [x.name for x in s.sources] for s in self.stages.values()}).static_order()
-        return [self.stages[n] for n in order if n in reached]
+        order = TopologicalSorter({n: [x.name for x in self.stages[n].sources if x.name in reached] for n in sorted(reached)})
+        order.prepare()
+        out = []
+        while order.is_active():
+            out.append([self.stages[n] for n in order.get_ready()])
+            order.done(*[s.name for s in out[-1]])
+        return out
+
+    def _together(self, *tasks: Callable[[], object]) -> list:
+        """Runs tasks side by side, so that short Spark jobs don't wait for each other; the first error is raised."""
+        if len(tasks) == 1:
+            return [tasks[0]()]
+
+        def tagged(task: Callable[[], object]) -> object:
+            self.spark.addTag(self.tag)
+            return task()
+
+        with ThreadPoolExecutor(len(tasks)) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(tagged), t) for t in tasks]]
 
-    def update(self, inputs: dict[str, DataFrame], based_on: int | None = None, batch: int | None = None, validate: bool = True) -> WaveReport:
+    def update(self, inputs: dict[str, DataFrame], based_on: int | None = None, stream: tuple[str, int] | None = None, validate: bool = True) -> WaveReport:
         """One wave into any number of roots, then into all stages below them, each from written inputs.
 
-        Nothing counts before the manifest of the new version is written, so a wave that fails can be run
-        again. Stages that the wave doesn't reach keep their version.
+        The wave starts from the newest version, or from ``based_on``, and gets the number after the newest: no
+        version is ever overwritten. Nothing counts before its manifest is there, so a wave that fails can be run
+        again. Stages that the wave doesn't reach keep their version. ``stream``: (name, batch) to remember.
         """
+        for name in inputs:
+            if self.stages[name].sources:
+                raise ValueError(f"{name} is not a root")
         self.spark.addTag(self.tag)
+        scratch = Scratch(self.spark)
         try:
-            return self._update(inputs, self.version if based_on is None else based_on, batch, validate)
+            newest = max(self.store.versions(self.spark), default=0)
+            base = newest if based_on is None else based_on
+            return self._update(inputs, base, newest + 1, stream, validate, scratch)
         finally:
             self.spark.removeTag(self.tag)
+            scratch.drop()
 
     def cancel(self) -> None:
         """Interrupts the wave that another thread is running; its version is not committed."""
         self.spark.interruptTag(self.tag)
 
-    def _update(self, inputs: dict[str, DataFrame], base: int, batch: int | None, validate: bool) -> WaveReport:
-        at, version = self._manifest(base), base + 1
-        for name in inputs:
-            if self.stages[name].sources:
-                raise ValueError(f"{name} is not a root")
-        held, feeds, seconds = {k: dict(v) for k, v in at["stages"].items()}, {}, {}
-        for stage in self._order(list(inputs)):
+    def vacuum(self, keep: int = 1) -> list[int]:
+        """Drops all but the newest versions, with the files that only they name."""
+        return self.store.vacuum(self.spark, keep)
+
+    def _update(self, inputs: dict[str, DataFrame], base: int, version: int, stream: tuple[str, int] | None, validate: bool, scratch: Scratch) -> WaveReport:
+        found = (self.store.manifest(self.spark, base) if base else None) or {"stages": {}}
+        held = self._held(base) | {}
+        wave, seconds, rows = f"{version:06d}-{uuid.uuid4().hex[:12]}", {}, {}
+        feeds: set[str] = set()
+
+        def run(stage: Stage) -> tuple[str, dict, dict, float]:
             began = time.time()
             if not stage.sources:
-                wave = inputs[stage.name].select("type", "key", "value", "ordinal")
+                changes = inputs[stage.name].select("type", "key", "value", "ordinal")
+                if held.get(stage.name):  # read several times below
+                    changes = scratch.put(changes)
                 if validate:
-                    check_wave(wave, stage.source_keys.of("key"))
+                    check_wave(changes, stage.source_keys.of("key"))
             else:
-                now = {"stages": held}
-                sides = [(feeds.get(s.name, empty(self.spark, self._schema(s, "updates"))), self._read(s, "content", now)) for s in stage.sources]
-                wave = join_wave((sides[0][0], sides[1][0]), (sides[0][1], sides[1][1]), stage.how, stage.source_keys) if stage.how else merge_sources(sides, stage.source_keys)
-            before = StageState(self._read(stage, "content", at), self._read(stage, "key_mappings", at), None, held.get(stage.name, {}).get("top_id", 0))
-            after = update_stage(before, wave, stage.producer, stage.source_keys, stage.target_keys, stage.preserved, stage.emit_updates or bool(stage.targets))
-            target, source = stage.target_keys, stage.source_keys
-            self.store.write(stage.name, "content", version, after.content, [*target.sort("target_key"), *source.sort("source_key")])
-            self.store.write(stage.name, "key_mappings", version, after.key_mappings, [*source.sort("source_key"), *target.sort("target_key")])
-            if after.updates is not None:
-                feeds[stage.name] = self.store.write(stage.name, "updates", version, after.updates, target.sort("key"))
-            held[stage.name] = {"version": version, "top_id": after.top_id}
-            seconds[stage.name] = time.time() - began
-            log.info("%s: version %d after %.1f s", stage.name, version, seconds[stage.name])
-        self.store.commit(self.spark, version, {"version": version, "based_on": base, "batch": batch, "stages": held})
+                changes = self._fed(stage, held, feeds, scratch)
+            now, n = self._stage_wave(stage, held.get(stage.name), changes, wave, scratch)
+            return stage.name, now, n, time.time() - began
+
+        for level in self._levels(list(inputs)):
+            for name, now, n, took in self._together(*[lambda s=s: run(s) for s in level]):
+                held[name], rows[name], seconds[name] = now, n, took
+                if now["updates"]:
+                    feeds.add(name)
+                log.info("%s: version %d after %.1f s", name, version, took)
+        streams = found.get("streams", {}) | (dict([stream]) if stream else {})
+        self.store.commit(self.spark, {"version": version, "based_on": base, "streams": streams, "stages": held})
         self.version = version
-        return WaveReport(version, seconds)
+        return WaveReport(version, seconds, rows)
+
+    def _fed(self, stage: Stage, held: dict[str, dict], feeds: set[str], scratch: Scratch) -> DataFrame:
+        """The wave that a stage's sources give it."""
+        spec = stage.source_keys
+        feed = [self._read(s, "updates", held[s.name]) if s.name in feeds else empty(self.spark, self._schema(s, "updates")) for s in stage.sources]
+        if len(stage.sources) == 1:
+            return feed[0]
+        affected = scratch.put(affected_keys(feed, spec).select("key")).withColumn("_g", spec.of("key"))
+        contents = []
+        for s in stage.sources:
+            at = held.get(s.name)
+            # of a source that groups its keys alike only the buckets of affected keys are read
+            only = self._buckets(affected, spec, "key", at["buckets"]) if at and s.target_keys == spec else None
+            contents.append(self._read(s, "content", at, only))
+        if stage.how == "cogroup":
+            changes = cogroup_wave(tuple(contents), affected, spec)
+        elif stage.how:
+            changes = join_wave(tuple(feed), tuple(contents), stage.how, spec, affected)
+        else:
+            changes = merge_sources(list(zip(feed, contents, strict=True)), spec, affected)
+        return scratch.put(changes)
+
+    def _buckets(self, rows: DataFrame, spec: KeySpec, column: str, buckets: int) -> set[int]:
+        """The buckets of rows' keys: at most ``buckets`` numbers."""
+        return {x[0] for x in rows.select(spec.bucket(column, buckets).alias("b")).distinct().collect()}
+
+    def _stage_wave(self, stage: Stage, before: dict | None, changes: DataFrame, wave: str, scratch: Scratch) -> tuple[dict, dict]:
+        """Writes what changes of one stage: the buckets that the wave touches, and the feed."""
+        source, target = stage.source_keys, stage.target_keys
+        n = before["buckets"] if before else self.store.buckets
+        top = before["top_id"] if before else 0
+        known = bool(before and (before["content"] or before["key_mappings"]))
+        feed_wanted = stage.emit_updates or bool(stage.targets)
+        if known:
+            changed, produced = self._together(lambda: scratch.put(r.changed_keys(changes, source)), lambda: self._produced(stage, changes, scratch))
+        else:
+            changed, produced = None, self._produced(stage, changes, scratch)
+
+        def write(kind: str, df: DataFrame, spec: KeySpec, column: str) -> tuple[dict[str, str], int]:
+            return self.store.write(stage.name, kind, wave, df, spec.bucket(column, n), self._sort(stage, kind))
+
+        if not known:
+            if stage.preserved is not None:
+                produced, top = preserve(produced, empty(self.spark, self._schema(stage, "content")), stage.preserved, target, source, top, scratch)
+                produced = scratch.put(produced)
+            (content, rows), (mappings, pairs) = self._together(lambda: write("content", produced, target, "target_key"), lambda: write("key_mappings", produced.select(*r.MAPPING), source, "source_key"))
+            touched, keys, past = None, None, None
+        else:
+            from_buckets = self._buckets(changed, source, "key", n)
+            lineage = self._read(stage, "key_mappings", before, from_buckets)
+            keys = scratch.put(r.touched_keys(lineage, changed, produced, source, target))
+            to_buckets = self._buckets(keys, target, "key", n)
+            past = self._read(stage, "content", before, to_buckets)
+            if stage.preserved is not None:
+                produced, top = preserve(produced, past, stage.preserved, target, source, top, scratch)
+                produced = scratch.put(produced)
+            (content, rows), (mappings, pairs), touched = self._together(
+                lambda: write("content", r.next_content(past, changed, produced, source), target, "target_key"),
+                lambda: write("key_mappings", r.next_mappings(lineage, changed, produced, source), source, "source_key"),
+                lambda: scratch.put(r.with_past(keys, past, changed, source, target)),
+            )
+            if not touched.where("torn").isEmpty():
+                raise WaveError(f"content and lineage of {stage.name} disagree: the version that the wave starts from is damaged")
+            content = {b: w for b, w in before["content"].items() if int(b) not in to_buckets} | content
+            mappings = {b: w for b, w in before["key_mappings"].items() if int(b) not in from_buckets} | mappings
+        held = {"buckets": n, "top_id": top, "content": content, "key_mappings": mappings, "updates": {}}
+        count = {"content": rows, "key_mappings": pairs}
+        if feed_wanted:
+            # from what was just written
+            now = self._read(stage, "content", held, None if touched is None else to_buckets)
+            feed = r.change_feed(touched, now, target, past if stage.suppress_unchanged else None)
+            held["updates"], count["updates"] = self.store.write(stage.name, "updates", wave, feed, None, [])
+        if keys is not None:
+            count["touched"] = touched.count()
+        return held, count
+
+    def _produced(self, stage: Stage, changes: DataFrame, scratch: Scratch) -> DataFrame:
+        """What the changed keys produce now; written, as several outputs come from it."""
+        out = stage.producer.apply(changes.where(F.col("type") != DELETE).select("key", "value", "ordinal"), stage.source_keys)
+        out = out.select("source_key", "target_key", "value", ORD)
+        check_shape(out, self._schema(stage, "content"), stage.name)
+        return scratch.put(out)

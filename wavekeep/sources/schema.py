@@ -54,3 +54,22 @@ def check_wave(updates: DataFrame, group) -> None:
     if first is not None:
         what = "an unknown change type" if first["odd"] else "several deletes" if first["d"] == first["n"] else "a delete and upserts"
         raise WaveError(f"key {first['k']} has {what} in one wave")
+
+
+def _bare(t: T.DataType) -> T.DataType:
+    """A type without the nullability of its parts and without collations."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _bare(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_bare(t.elementType))
+    if isinstance(t, T.MapType):
+        return T.MapType(_bare(t.keyType), _bare(t.valueType))
+    return T.StringType() if isinstance(t, T.StringType) else t
+
+
+def check_shape(df: DataFrame, schema: T.StructType, stage: str) -> None:
+    """Raises WaveError if a producer's columns are not of the stage's types."""
+    for f in schema.fields:
+        made = df.schema[f.name].dataType
+        if _bare(made) != _bare(f.dataType):
+            raise WaveError(f"{stage} makes {f.name} of type {made.simpleString()}, not {f.dataType.simpleString()}")

@@ -1,95 +1,157 @@
-"""Where versions of stages are kept: in memory, or as Parquet under any path that Spark can open."""
+"""Where versions of stages are kept: Parquet under any path that Spark can open.
+
+A stage's content and lineage are dealt into buckets by a hash of their key's group. A wave writes only the
+buckets it touches, into a folder of its own; the manifest of a version says for each bucket which wave's
+folder holds it. Nothing that a manifest names is ever written again.
+"""
 
 from __future__ import annotations
 
 import json
 import tempfile
+import uuid
+from itertools import count
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import empty
+from .schema import WaveError, empty
 
 KINDS = ("content", "key_mappings", "updates")
+BUCKET = "_b"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waves-"))
-    return df.checkpoint()
-
-
-class Store(Protocol):
-    def read(self, spark: SparkSession, stage: str, kind: str, version: int, schema: T.StructType) -> DataFrame: ...
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only on one machine may it be unset."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="wavekeep-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
-    def write(self, stage: str, kind: str, version: int, df: DataFrame, sort: list[Column]) -> DataFrame: ...
-
-    def commit(self, spark: SparkSession, version: int, manifest: dict) -> None: ...
-
-    def manifest(self, spark: SparkSession, version: int) -> dict | None: ...
 
+def file_at(spark: SparkSession, path: str):
+    """(file system, path) on the side of the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-class MemoryStore:
-    """Datasets live in the checkpoint folder, for as long as the session."""
 
-    def __init__(self) -> None:
-        self.data: dict[tuple[str, str, int], DataFrame] = {}
-        self.manifests: dict[int, dict] = {}
+class Scratch:
+    """Tables of one piece of work in the shared folder, deleted together when it is done."""
 
-    def read(self, spark: SparkSession, stage: str, kind: str, version: int, schema: T.StructType) -> DataFrame:
-        found = self.data.get((stage, kind, version))
-        return empty(spark, schema) if found is None else found
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.numbers = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", count()
 
-    def write(self, stage: str, kind: str, version: int, df: DataFrame, sort: list[Column]) -> DataFrame:
-        self.data[stage, kind, version] = out = settle(df)
-        return out
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{next(self.numbers)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    def commit(self, spark: SparkSession, version: int, manifest: dict) -> None:
-        self.manifests[version] = manifest
+    def drop(self) -> None:
+        fs, p = file_at(self.spark, self.root)
+        fs.delete(p, True)
 
-    def manifest(self, spark: SparkSession, version: int) -> dict | None:
-        return self.manifests.get(version)
 
+class Store(Protocol):
+    buckets: int
 
-class ParquetStore:
-    """``<root>/<stage>/v=<version>/<kind>/`` range-partitioned and sorted; a version counts only once its
-    manifest, written last, is there. Files of a version that is being read are never overwritten."""
+    def read(self, spark: SparkSession, stage: str, kind: str, held: dict | None, schema: T.StructType, only: set[int] | None = None) -> DataFrame: ...
 
-    def __init__(self, root: str, files: int | None = None) -> None:
-        self.root, self.files = root.rstrip("/"), files
+    def write(self, stage: str, kind: str, wave: str, df: DataFrame, bucket: Column | None, sort: list[Column]) -> tuple[dict[str, str], int]: ...
 
-    def path(self, stage: str, kind: str, version: int) -> str:
-        return f"{self.root}/{stage}/v={version}/{kind}"
+    def commit(self, spark: SparkSession, manifest: dict) -> None: ...
 
-    def _file(self, spark: SparkSession, path: str):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+    def manifest(self, spark: SparkSession, version: int) -> dict | None: ...
 
-    def read(self, spark: SparkSession, stage: str, kind: str, version: int, schema: T.StructType) -> DataFrame:
-        fs, p = self._file(spark, self.path(stage, kind, version))
-        return spark.read.schema(schema).parquet(self.path(stage, kind, version)) if fs.exists(p) else empty(spark, schema)
+    def versions(self, spark: SparkSession) -> list[int]: ...
 
-    def write(self, stage: str, kind: str, version: int, df: DataFrame, sort: list[Column]) -> DataFrame:
-        path = self.path(stage, kind, version)
-        ordered = df.repartitionByRange(self.files, *sort) if self.files else df.repartitionByRange(*sort)
-        ordered.sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def commit(self, spark: SparkSession, version: int, manifest: dict) -> None:
-        fs, p = self._file(spark, f"{self.root}/_manifests/{version}.json")
-        _, part = self._file(spark, f"{self.root}/_manifests/.{version}.part")
+class ParquetStore:
+    """``<root>/<stage>/<wave>/<kind>/_b=<bucket>/``, sorted within files. ``buckets`` is how many a new stage gets;
+    one that is there keeps its number. A hot bucket is split over several files by AQE's rebalancing.
+
+    Manifests are ``<root>/_manifests/<version>.json``: written beside and renamed to a name that must be free.
+    """
+
+    def __init__(self, root: str, buckets: int = 16) -> None:
+        self.root, self.buckets = root.rstrip("/"), buckets
+
+    def path(self, stage: str, wave: str, kind: str) -> str:
+        return f"{self.root}/{stage}/{wave}/{kind}"
+
+    def read(self, spark: SparkSession, stage: str, kind: str, held: dict | None, schema: T.StructType, only: set[int] | None = None) -> DataFrame:
+        parts = (held or {}).get(kind) or {}
+        paths = [self.path(stage, wave, kind) + (f"/{BUCKET}={b}" if b else "") for b, wave in sorted(parts.items()) if only is None or not b or int(b) in only]
+        return spark.read.schema(schema).parquet(*paths) if paths else empty(spark, schema)
+
+    def write(self, stage: str, kind: str, wave: str, df: DataFrame, bucket: Column | None, sort: list[Column]) -> tuple[dict[str, str], int]:
+        """The buckets that got rows, each with the wave that holds it (without ``bucket`` one, named ""), and the rows."""
+        path, seen = self.path(stage, wave, kind), Observation()
+        if bucket is None:
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            return {"": wave}, seen.get["n"]
+        rows = df.withColumn(BUCKET, bucket.cast("int")).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *sort).write.partitionBy(BUCKET).parquet(path)
+        fs, p = file_at(df.sparkSession, path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {x.removeprefix(f"{BUCKET}="): wave for x in names if x.startswith(f"{BUCKET}=")}, seen.get["n"]
+
+    def commit(self, spark: SparkSession, manifest: dict) -> None:
+        """Makes a version count, by one rename. Raises if another process has taken its number."""
+        jvm = spark._jvm
+        fs, part = file_at(spark, f"{self.root}/_manifests/.{uuid.uuid4().hex}")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(part, p):
-            raise OSError(f"version {version} could not be committed")
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifests/{manifest['version']}.json")
+        kept = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs.Options, "Rename"), 0)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(part).toUri(), spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(fs.makeQualified(part), fs.makeQualified(target), kept)
+        except Exception as e:
+            fs.delete(part, False)
+            raise WaveError(f"version {manifest['version']} could not be committed") from e
 
     def manifest(self, spark: SparkSession, version: int) -> dict | None:
-        fs, p = self._file(spark, f"{self.root}/_manifests/{version}.json")
+        fs, p = file_at(spark, f"{self.root}/_manifests/{version}.json")
         if not fs.exists(p):
             return None
         return json.loads("\n".join(r["value"] for r in spark.read.text(p.toString()).collect()))
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        fs, p = file_at(spark, f"{self.root}/_manifests")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(int(x.removesuffix(".json")) for x in names if x.endswith(".json") and x[0] != ".")
+
+    def vacuum(self, spark: SparkSession, keep: int = 1) -> list[int]:
+        """Drops all versions but the newest ``keep``, and the folders of waves that no kept version names. Not to be
+        run beside a wave. Gives the versions dropped."""
+        every = self.versions(spark)
+        gone = every[: max(0, len(every) - keep)]
+        for v in gone:
+            fs, p = file_at(spark, f"{self.root}/_manifests/{v}.json")
+            fs.delete(p, False)
+        kept = [self.manifest(spark, v) for v in every[len(gone) :]]
+        named = {(s, w) for m in kept for s, held in m["stages"].items() for k in KINDS for w in (held.get(k) or {}).values()}
+        fs, top = file_at(spark, self.root)
+        for stage in fs.listStatus(top) if fs.exists(top) else []:
+            name = stage.getPath().getName()
+            if name[0] not in "_.":
+                for wave in fs.listStatus(stage.getPath()):
+                    if (name, wave.getPath().getName()) not in named:
+                        fs.delete(wave.getPath(), True)
+        return gone
+
+
+def session_store(spark: SparkSession, buckets: int = 16) -> ParquetStore:
+    """A store for the time of a session, in the shared folder."""
+    return ParquetStore(f"{shared_dir(spark)}/session-{uuid.uuid4().hex}", buckets)

@@ -10,19 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.graph import Graph
 
 
-def stream_graph(graph: Graph, root: str, changes: DataFrame, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, **trigger) -> StreamingQuery:
+def stream_graph(graph: Graph, root: str, changes: DataFrame, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, name: str | None = None, **trigger) -> StreamingQuery:
     """Feeds each micro-batch of ``changes`` (after ``prepare``, which gives type, key, value, ordinal) to a root
-    as one wave. A batch that a committed version already holds is skipped, so a restart repeats none."""
+    as one wave. The version that a batch makes remembers its number under the stream's name (by default the
+    checkpoint), so a batch that is sent again, by this process or a later one, is skipped."""
+    name = name or checkpoint
 
     def run(batch: DataFrame, number: int) -> None:
-        last = graph.version
-        while last:
-            done = graph.store.manifest(graph.spark, last)
-            if done and done.get("batch") is not None:
-                if done["batch"] >= number:
-                    return
-                break
-            last -= 1
-        graph.update({root: prepare(batch)}, batch=number)
+        newest = max(graph.store.versions(graph.spark), default=0)
+        done = graph.store.manifest(graph.spark, newest)["streams"].get(name, -1) if newest else -1
+        if done < number:
+            graph.update({root: prepare(batch)}, stream=(name, number))
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
