@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavekeep.llm import bitsample, fingerprints, langid, licenses, linededup, media, mixing, packing, pii, sharding
-from wavekeep.llm._common import components
+from wavekeep.llm._common import Scratch, components
 from wavekeep.llm.queries import tokenizer_path
 
 RNG = random.Random(5)
@@ -347,8 +347,7 @@ def test_near_duplicates_against_brute_force(spark):
                 a, b = find(i), find(j)
                 roots[max(a, b)] = min(a, b)
     got = rows(bitsample.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
-    wrong = [r for r in got if r["class_id"] != find(r["doc_id"])]
-    assert len(wrong) <= 2, wrong
+    assert [r for r in got if r["class_id"] != find(r["doc_id"])] == []
 
 
 def test_line_dedup(docs, none):
@@ -359,9 +358,48 @@ def test_line_dedup(docs, none):
     assert (got[13]["text"], got[14]["text"], got[15]["text"]) == ("something else", "null\x00byte", "and a new one")
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "  \n\t "
     assert got[11]["text"] == "" and got[11]["n_dropped"] == 1 and got[10]["text"] == ""
+    assert sorted(r["text"] for r in rows(out) if r["doc_id"] == 6) == ["", AWKWARD[5][1]]  # of equal rows one keeps its lines
     assert out.count() == len(AWKWARD) and linededup.dedup(none).count() == 0
 
 
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(31)
+    base = [prose(rng.randint(4, 25), rng) for _ in range(60)]
+    lines = base + [near(rng.choice(base), 1, rng) for _ in range(60)] + [rng.choice(base) + rng.choice("ab") for _ in range(40)] + ["", " ", "\t", "ab"] * 3
+    rng.shuffle(lines)
+    texts = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)]
+    flat = [(i, at, x) for i, t in texts for at, x in enumerate(t.split("\n")) if x.strip()]
+    roots = list(range(len(flat)))
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    sets = [{x.encode()[i : i + 8] for i in range(len(x.encode()) - 7)} for *_, x in flat]
+    for i in range(len(flat)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if flat[i][2] == flat[j][2] or (len(a) >= 4 <= len(b) and len(a & b) >= 0.8 * len(a | b)):
+                p, q = find(i), find(j)
+                roots[max(p, q)] = min(p, q)
+    keep = {(flat[i][0], flat[i][1]) for i in range(len(flat)) if find(i) == i}
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup(spark.createDataFrame(texts, "doc_id bigint, text string")))}
+    want = {i: "\n".join(x for at, x in enumerate(t.split("\n")) if not x.strip() or (i, at) in keep) for i, t in texts}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(keep) < len(flat) - 60 and len(wrong) <= 1, wrong  # eight bands miss one or two pairs in a hundred at 0.8
+
+
+def test_rows_of_bands():
+    buckets = np.array([1] * 3 + [2] * 20 + [3] * 5 + [4] * 2, np.int64)
+    lines = np.concatenate([np.arange(100 * b, 100 * b + n) for b, n in ((1, 3), (2, 20), (3, 5), (4, 2))])
+    got = set(zip(*[x.tolist() for x in linededup.near_rows(buckets, lines)], strict=True))
+    want = {(100 * b + i, 100 * b + j) for b, n in ((1, 3), (2, 20), (3, 5), (4, 2)) for j in range(n) for i in range(j) if j - i <= 7 or i == 0}
+    assert got == want | {(x, x) for x in [*range(100, 103), *range(200, 220), *range(400, 402)]}
+    twice = linededup.near_rows(np.array([1, 1, 1, 2, 3], np.int64), np.array([5, 5, 6, 7, 8], np.int64))
+    assert (5, 6) in set(zip(*[x.tolist() for x in twice], strict=True)) and not any(a == b == 7 for a, b in zip(*[x.tolist() for x in twice], strict=True))
+
+
 def test_line_jaccard_and_bands():
     def exact(a, b):
         x, y = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (a, b))
@@ -379,7 +417,7 @@ def test_line_jaccard_and_bands():
 
 def test_components(spark):
     rng = random.Random(4)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)]
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(700)]
     roots = {}
 
     def find(x):
@@ -390,11 +428,37 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         roots[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     loops = {x for x in roots if x not in got}
     assert all(all(x not in e or e[0] == e[1] for e in edges) for x in loops)
     assert got == {x: find(x) for x in roots if x not in loops}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).count() == 0
+
+
+def test_components_say_when_they_are_not_done(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="rounds"):
+        components(path, Scratch(spark), rounds=1)
+
+
+def test_buckets_are_split_by_more_bits():
+    rng = random.Random(12)
+    spots = np.sort(np.array([rng.getrandbits(40) for _ in range(300)] + [(5 << 35) + rng.getrandbits(20) for _ in range(200)] + [77 << 30] * 30, np.int64))
+    i, j = bitsample.split(spots, 8, 8)
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    want = set()
+    for bits in range(8, 41):
+        runs = collections.defaultdict(list)
+        for at, x in enumerate(spots.tolist()):
+            runs[x >> (40 - bits)].append(at)
+        for run in runs.values():
+            parent = sum(x >> (41 - bits) == spots[run[0]] >> (41 - bits) for x in spots.tolist())
+            if len(run) <= 8 and (bits == 8 or parent > 8):
+                want |= {(a, b) for a in run for b in run if a < b}
+            if bits == 40 and len(run) > 8:
+                want |= {(run[0], b) for b in run[1:]}
+    assert got == want and len(i) == len(got)
+    assert [len(x) for x in bitsample.split(np.zeros(0, np.int64), 8, 8)] == [0, 0]
 
 
 def test_fingerprints(docs, none, spark):

@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import Scratch
+
+__all__ = ["Scratch"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is named, as
-    in tests, a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="settled-"))
-    return df.checkpoint()
+#: Bytes of text that a Python worker handles at once, unless one text alone has more.
+PIECE = 1 << 22
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most ``rows`` documents at once, so that long texts fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches cut by the size of the strings in column ``text``, whatever batches the session makes."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(ends) or ends[-1] <= most:
+            yield b
+            continue
+        at = 0
+        while at < len(ends):
+            had = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, had + most, "right")))
+            yield b.slice(at, upto - at)
+            at = upto
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -38,26 +46,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def bucket_links(rows: DataFrame, bucket: str, node: str, near: int = 7, order: list[str] | None = None, large: bool = False) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of nodes inside buckets, linear in the rows: each row meets the
-    ``near`` rows before it (so all pairs of a bucket of up to ``near`` + 1 rows) and the first row of its
-    bucket.
+#: The MOST_HOT keys with the most rows, if more than HOT, are dealt over at most MOST_PARTS tasks.
+HOT = 256
+MOST_HOT, MOST_PARTS = 4096, 1024
 
-    In larger buckets rows are ordered by ``order``, then by a hash that differs from bucket to bucket, so
-    that each of a node's buckets offers other partners. With ``large`` each row of a larger bucket also
-    gives a pair (a, a): its node may have partners that it did not meet.
-    """
-    w = Window.partitionBy(bucket).orderBy(*(order or []), F.xxhash64(bucket, node), node)
-    them = [F.first(node).over(w), *[F.lag(node, i).over(w) for i in range(1, near + 1)]]
-    if large:
-        rows = rows.select(node, F.array(*them).alias("them"), (F.count("*").over(Window.partitionBy(bucket)) > near + 1).alias("large"))
-        # the first row of a bucket is the first it meets: itself
-        them = F.when(F.col("large"), F.array_union("them", F.array(node))).otherwise(F.array_except("them", F.array(node)))
-        pairs = rows.select(node, F.explode(them).alias("it")).where("it is not null")
-        return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
-    rows = rows.select(node, F.array(*them).alias("them"))
-    pairs = rows.where(F.col("them")[1].isNotNull()).select(node, F.explode("them").alias("it")).where(f"it <> {node}")
-    return pairs.select(F.least(node, "it").alias("a"), F.greatest(node, "it").alias("b"))
+
+def salted_join(rows: DataFrame, key: str, by: str, unique: DataFrame, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``unique`` (one row a key) on ``key``; a hot key's rows are dealt over several tasks by a
+    hash of ``by``. The list of hot keys is bounded, so it can be broadcast. Keys are counted in ``counted``,
+    by default ``rows``, which is then read twice."""
+    counts = (rows if counted is None else counted).groupBy(key).count()
+    hot = [(r[0], min(MOST_PARTS, -(-r[1] // HOT))) for r in counts.where(F.col("count") > HOT).orderBy(F.desc("count")).limit(MOST_HOT).collect()]
+    if not hot:
+        return rows.join(unique, key, how)
+    kind = rows.schema[key].dataType.simpleString()
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} {kind}, _parts bigint"))
+    left = rows.join(parts, key, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")))).drop("_parts")
+    right = unique.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 #: Elements oftenest in a sample of sets, which come last in the order of a set: at most 1 MB.
@@ -67,38 +73,52 @@ BLOCK = 1024
 _EDGE = 1e-6  # a bound on a size is missed by no rounding
 
 
-def often(elements: DataFrame) -> np.ndarray:
-    """The elements (a row each, column element) that occur oftenest in a sample of sets, and their counts: two
-    rows of longs, by element. Only the cost of ``alike`` depends on them."""
-    top = elements.groupBy("element").count().where("count > 2").orderBy(F.desc("count"), "element").limit(MOST_OFTEN).collect()
+def often(texts: DataFrame, elements: Callable[[object], np.ndarray]) -> np.ndarray:
+    """The elements that occur oftenest in a sample of texts (one column), and their counts: two rows of longs, by
+    element. Only the cost of ``alike`` depends on them."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 0):
+            found = [np.unique(elements(x)) for x in dict.fromkeys(b.column(0).to_pylist())]
+            element, count = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(count)], names=["element", "n"])
+
+    found = texts.mapInArrow(every, "element bigint, n bigint")
+    top = found.groupBy("element").agg(F.sum("n").alias("count")).where("count > 2").orderBy(F.desc("count"), "element").limit(MOST_OFTEN).collect()
     return np.array(sorted((r["element"], r["count"]) for r in top), np.int64).reshape(-1, 2).T
 
 
-def leading(elements: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+def leading(elements: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
     """The first of a set's distinct longs in one order for all sets, the rare ones first: as many as it takes that
-    two sets of at least this Jaccard similarity share one of them."""
+    two sets of at least this Jaccard similarity share one of them. And how many of them are in ``common``."""
     rank = np.zeros(len(elements), np.int64)
     if common.shape[1]:
         at = np.minimum(np.searchsorted(common[0], elements), common.shape[1] - 1)
         rank = np.where(common[0][at] == elements, common[1][at], 0)
     keep = len(elements) - int(np.ceil(similarity * len(elements) - _EDGE)) + 1
-    return elements[np.lexsort((elements, rank))][:keep]
+    order = np.lexsort((elements, rank))[:keep]
+    return elements[order], int((rank[order] > 0).sum())
 
 
-def alike(sets: DataFrame, similarity: float) -> DataFrame:
+def alike(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different roots: all whose sets have at least this Jaccard similarity, and
-    some others. sets: node, root, n (the size of the set) and lead (its ``leading`` elements).
+    some others. sets: node, root, n (the size of the set), lead (its ``leading`` elements) and common (how many of
+    these, the last ones, are in the list of ``often``).
 
     Of two such sets the longer has one of its leading elements among the first of the shorter, at places that
-    leave enough for what they must share. Rows of an element meet in blocks of ``BLOCK`` by ``BLOCK``, so that
-    no task gets all rows of a frequent one; nodes of one root are linked already.
+    leave enough for what they must share. Elements of the list are counted by partial aggregation and their
+    counts broadcast (a bounded list); the others, which are rare, meet in one shuffle. Rows of an element meet in
+    blocks of ``BLOCK`` by ``BLOCK``, so that no task gets all rows of a frequent one; nodes of one root are linked already.
     """
     t = similarity
+    rows = sets.select("node", "root", "n", F.posexplode("lead").alias("i", "element"), (F.size("lead") - F.col("common")).alias("rare"))
     every = Window.partitionBy("element")
-    rows = sets.select("node", "root", "n", F.posexplode("lead").alias("i", "element"))
-    rows = rows.withColumn("rows", F.count("*").over(every)).withColumn("mixed", F.min("root").over(every) < F.max("root").over(every))
-    rows = rows.where("rows > 1 and mixed").withColumn("blocks", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}"))
-    rows = settle(rows.withColumn("block", F.expr("pmod(xxhash64(element, node), blocks)")))
+    seldom = rows.where("i < rare").drop("rare").withColumn("rows", F.count("*").over(every)).withColumn("mixed", F.min("root").over(every) < F.max("root").over(every))
+    frequent = rows.where("i >= rare").drop("rare")
+    counts = frequent.groupBy("element").agg(F.count("*").alias("rows"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
+    rows = seldom.where("mixed").unionByName(frequent.join(F.broadcast(counts), "element"))  # at most MOST_OFTEN rows
+    rows = rows.withColumn("blocks", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}"))
+    rows = scratch.put(rows.select("node", "root", "n", "i", "element", "blocks", F.expr("pmod(xxhash64(element, node), blocks)").alias("block")))
     each = F.explode(F.expr("sequence(0L, blocks - 1)"))
     x = rows.select("element", F.col("block").alias("s"), each.alias("t"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     y = rows.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - _EDGE))
@@ -111,18 +131,73 @@ def alike(sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-#: Bits of a filter of ids: 8 MB at most.
-MOST_BITS = 1 << 26
+#: Elements of the sets that meet in one block of verification, unless one set alone has more.
+BLOCK_ELEMENTS = 1 << 18
+_SALTS = 64
+
+
+def verified(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame], elements: Callable[[bytes], np.ndarray], similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity, each compared exactly.
+
+    sizes: (node, n) of all nodes. sets: gives (node, held) of the nodes in a column id, of which ``elements`` makes the
+    sorted distinct longs of a set. A set is not sent along with each of its pairs: nodes are dealt into blocks of nodes that meet
+    each other (those with the same least partner, split by size), and a set is sent once to each pair of blocks in
+    which its node has a pair. There the sets of a block are held while its pairs are read.
+    """
+    pairs = scratch.put(pairs)
+    if pairs.isEmpty():
+        return pairs
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), "a"), F.struct(F.col("b").alias("node"), "a"))).alias("e")
+    lab = pairs.select(both).groupBy("e.node").agg(F.min("e.a").alias("label")).join(sizes, "node")
+    lab = scratch.put(lab.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")))
+    large = lab.groupBy("label").agg(F.sum("n").alias("total")).where(f"total > {BLOCK_ELEMENTS}").select("label", F.expr(f"(total + {BLOCK_ELEMENTS - 1}) div {BLOCK_ELEMENTS}").alias("parts"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    part = F.coalesce(F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")), F.lit(0))
+    blocks = scratch.put(lab.join(large, ["label", "salt"], "left").select("node", F.xxhash64("label", part).alias("block")))
+    met = salted_join(pairs, "a", "b", blocks.select(F.col("node").alias("a"), F.col("block").alias("p")))
+    met = salted_join(met, "b", "a", blocks.select(F.col("node").alias("b"), F.col("block").alias("q")), counted=pairs)
+    met = scratch.put(met.select("a", "b", F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("at")))
+    member = met.select("at", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = member.join(sets(blocks.select(F.col("node").alias("id"))), "node").select("at", F.lit(None).cast("bigint").alias("a"), F.col("node").alias("b"), "held")
+    rows = rows.unionByName(met.select("at", "a", "b", F.lit(None).cast("binary").alias("held")))
+    rows = rows.repartition("at").sortWithinPartitions("at", F.col("a").asc_nulls_first(), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, here = None, {}
+        for batch in batches:
+            left, right = [], []
+            for at, a, b, held in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if at != now:
+                    now, here = at, {}
+                if a is None:
+                    here[b] = elements(held)
+                    continue
+                x, y = here.get(a), here.get(b)
+                if x is None or y is None:
+                    raise ValueError("a node without a set")
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - _EDGE:
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= similarity * (len(x) + len(y) - shared) - _EDGE:
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+#: Bits of a filter of ids: 32 MB at most.
+MOST_BITS = 1 << 28
 _SHIFTS = (7, 14, 21)
 
 
-def short(hexed: str) -> int:
-    """60 bits of a digest, for candidates only: they are verified on text."""
-    return int(hexed[:15], 16)
+def short(digest: bytes) -> int:
+    """64 bits of a digest as a long: the name of a text or line in joins."""
+    return int.from_bytes(digest[:8], "big", signed=True)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the distinct 60-bit ids in column id: it keeps what is no candidate off the network.
+    """A Bloom filter of the distinct 64-bit ids in column id: it keeps what is no candidate off the network.
     Its bits are a power of two, at most ``MOST_BITS``; with more ids than that suits, it passes more rows than
     needed but never fewer. Built by or-ing words, of which a bounded number comes to the driver."""
     n, bits = ids.count(), 1 << 10
@@ -144,14 +219,15 @@ def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return keep
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Distributed union-find over edges (a, b): one row (node, root) for each node that has an edge,
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
+    """Distributed union-find over edges (a, b) of longs: one row (node, root) for each node that has an edge,
     where root is the least node of its component.
 
-    Alternates large-star and small-star steps (minimum by partial aggregation, then a join) and
-    writes the edges to the checkpoint folder after each, until a round changes nothing.
+    Alternates large-star and small-star steps (minimum by partial aggregation, then a join that deals a hot
+    centre's edges over several tasks) and writes the edges after each, until a round changes nothing. The
+    rounds needed grow with the logarithm of the longest path; more than ``rounds`` raise an error.
     """
-    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -163,19 +239,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        star = salted_join(both.where("b > a"), "a", "b", low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        star = scratch.put(star)
         low = star.groupBy("a").agg(F.min("b").alias("m"))
-        star = (
-            star.join(low, "a")
-            .select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-            .select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        edges = settle(star)
+        star = salted_join(star, "a", "b", low).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = scratch.put(star.select("e.a", "e.b").where("a <> b").distinct())
         after = mark(edges)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"the components are not settled after {rounds} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def joined_roots(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) after ``links`` (a, b) have joined some of the components ``roots``. Only their roots take part."""
+    if links.isEmpty():
+        return roots
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    above = scratch.put(components(between, scratch)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    alone = above.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
+    every = scratch.put(roots.unionByName(alone))
+    return scratch.put(salted_join(every, "root", "node", above, "left").select("node", F.coalesce("top", "root").alias("root")))

@@ -2,14 +2,13 @@
 
 Each distinct text gets two fingerprints of signed votes: a coarse one over its words, from which each of
 several tables samples coordinates, and a fine one over its sets of five words. Texts that agree on a
-table's first sampled coordinates share a bucket; the more texts there are, the more coordinates are
-used. A bucket of more than ``CAP`` texts is split by additional ones, as far as it takes: its texts are
-ordered by all coordinates of the table, so that those which agree on most of them meet. Candidates are
-verified by the distance of their fine fingerprints, those near the threshold on their texts, and verified
-links are joined by distributed union-find.
-
-What the tables miss is found exactly: texts that are not linked yet meet if they share one of their rarest
-runs of words that any two texts similar enough must share, and are verified on the texts.
+table's first sampled coordinates share a bucket; a bucket of more than ``CAP`` texts is split by additional
+ones until each part has at most ``CAP``, and what agrees on all of them meets its first text only. Candidates whose fine fingerprints are near are
+verified on their texts, and verified links are joined by distributed union-find.
+
+The tables find links cheaply, but not all. So texts that are not linked by then meet again if they share one of
+their rarest runs of words that any two texts similar enough must share, and are verified alike: the
+classes are exactly those of comparing all pairs, whatever the number of bits, tables or rows.
 """
 
 from __future__ import annotations
@@ -20,18 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import alike, bucket_links, components, free_name, id_filter, leading, often, passes, settle, short, small_batches
+from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, short, verified
 
 WORDS = 5
 SIMILARITY = 0.8
-SLACK = 0.1  # an estimate from fine prints that is nearer to the similarity is checked on the texts
+SLACK = 0.15  # candidates of the tables whose estimate is this much too low are left to the exact pass
 TABLES = 20
 SAMPLED = 40
 COARSE, FINE, FEATURES = 256, 512, 4096
 CAP = 8
+RUN = 1 << 19  # rows of a table that are cut into buckets at once
 SAMPLE = 20_000  # texts of which the frequent runs of words are learned
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,16 +75,29 @@ def sampled(seed: int = 7) -> np.ndarray:
     return np.stack([rng.permutation(COARSE)[:SAMPLED] for _ in range(TABLES)])
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, runs, tables, fine) a row: key is a digest of the text, runs how many distinct runs it has,
-    tables a long of sampled coordinates for each table, fine eight longs."""
-    small_batches(docs.sparkSession)
+def _md5(text: str | None) -> bytes:
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
+
+
+def frequent_runs(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """The runs of words that are frequent in a sample of about ``SAMPLE`` of ``n`` texts, for ``leading``."""
+
+    text = docs.select(F.col(text_col).alias("text"))
+    some = text.where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n))
+    return often(some, lambda x: features(x)[1].view(np.int64))
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
+    """(id, key, node, runs, tables, fine, lead, common) a row: key is a digest of the text, node the digest's first 64
+    bits, runs how many distinct runs it has, tables a long of sampled coordinates for each table, fine eight
+    longs, lead its leading runs, common how many of these are in ``common``."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # MOST_OFTEN rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse_signs, fine_signs, at = _signs(COARSE, 1), _signs(FINE, 2), sampled()
         weights = 1 << np.arange(SAMPLED - 1, -1, -1, dtype=np.int64)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for b in pieces(batches, 1):
+            ids, texts = b.column(0), b.column(1).to_pylist()
             for lo in range(0, len(ids), 200):
                 part = texts[lo : lo + 200]
                 found = [features(x) for x in part]
@@ -92,18 +105,23 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 coarse = np.stack([_counts(w) for w, _ in found]) @ coarse_signs > 0
                 fine = np.stack([_counts(r) for _, r in found]) @ fine_signs > 0
                 tables = coarse[:, at] @ weights
+                keys = [_md5(x) for x in part]
+                leads = [leading(r.view(np.int64), shared.value, SIMILARITY) for _, r in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[lo : lo + 200], pa.int64()),
-                        pa.array([hashlib.md5((x or "").encode("utf-8", "surrogatepass")).hexdigest() for x in part]),
+                        ids.slice(lo, len(part)),
+                        pa.array([k.hex() for k in keys]),
+                        pa.array([short(k) for k in keys], pa.int64()),
                         pa.array([len(r) for _, r in found], pa.int64()),
                         pa.array(list(tables), pa.list_(pa.int64())),
                         pa.array(list(np.packbits(fine, axis=1).view(np.int64)), pa.list_(pa.int64())),
+                        pa.array([x for x, _ in leads], pa.list_(pa.int64())),
+                        pa.array([c for _, c in leads], pa.int32()),
                     ],
-                    names=["id", "key", "runs", "tables", "fine"],
+                    names=["id", "key", "node", "runs", "tables", "fine", "lead", "common"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id bigint, key string, runs bigint, tables array<bigint>, fine array<bigint>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id bigint, key string, node bigint, runs bigint, tables array<bigint>, fine array<bigint>, lead array<bigint>, common int")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -115,107 +133,102 @@ def estimate(a: str, b: str) -> Column:
     return shared / (n + m - shared)
 
 
-def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
-    """(key, text) of the texts whose keys' 60 bits are among ``ids``, and a few others."""
+def _runs_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+    """(node, held) of the texts whose nodes are in column id, and of a few others: the bytes of their sorted runs."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = {hashlib.md5((x or "").encode("utf-8", "surrogatepass")).hexdigest(): x or "" for x in b.column(0).to_pylist()}
-            keys = list(texts)
-            some = np.flatnonzero(passes(shared.value, np.array([short(k) for k in keys], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.string()), pa.array([texts[keys[i]] for i in some], pa.string())], names=["key", "text"])
+        for b in pieces(batches, 0):
+            texts = {short(_md5(x)): x for x in b.column(0).to_pylist()}
+            nodes = np.array(list(texts), np.int64)
+            some = [int(x) for x in nodes[passes(shared.value, nodes)]]
+            runs = [np.sort(features(texts[x])[1].view(np.int64)).tobytes() for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(runs, pa.binary())], names=["node", "held"])
 
-    return docs.select(text_col).mapInArrow(run, "key string, text string").groupBy("key").agg(F.first("text").alias("text"))
+    return docs.select(text_col).mapInArrow(run, "node bigint, held binary").groupBy("node").agg(F.first("held").alias("held"))
 
 
-def _checked(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, x, y) whose texts x and y are similar enough: Jaccard of the sets of runs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                (_, n), (_, m) = features(x.as_py()), features(y.as_py())
-                both = len(np.intersect1d(n, m, assume_unique=True))
-                keep.append(both >= SIMILARITY * (len(n) + len(m) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+def _longs(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, np.int64)
 
 
 def bits_used(texts: int) -> int:
-    """How many sampled bits a text's bucket has."""
+    """How many sampled bits a bucket has before it is split: random buckets then have a text or two at any size.
+    What fewer or more bits find is a matter of cost only, as the exact pass finds the rest."""
     return min(SAMPLED, max(8, int(np.ceil(np.log2(max(2, texts)))) + 1))
 
 
-def _node(key: str) -> Column:
-    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
-
+def split(spots: np.ndarray, used: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (i, j), i < j, of sorted ``spots`` (a table's number above ``SAMPLED`` bits): all pairs of each
+    bucket of ``used`` bits that has at most ``cap`` rows; a larger one is split by one more bit, and so on; rows
+    that agree on all bits and are more than ``cap`` meet the first of them."""
+    n = len(spots)
+    group, open_, first = np.full(n, -1), np.ones(n, bool), np.zeros(n, np.int64)
+    for bits in range(used, SAMPLED + 1):
+        prefix = spots >> (SAMPLED - bits)
+        starts = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])[:n])
+        sizes = np.diff(np.append(starts, n))
+        first = np.repeat(starts, sizes)
+        small = open_ & (np.repeat(sizes, sizes) <= cap)
+        group[small] = first[small] + n * bits
+        open_ &= ~small
+        if not open_.any():
+            break
+    left, right = [], []
+    for k in range(1, min(cap, n)):
+        i = np.flatnonzero((group[k:] == group[:-k]) & (group[k:] >= 0))
+        left.append(i)
+        right.append(i + k)
+    rest = np.flatnonzero(open_)
+    rest = rest[first[rest] != rest]
+    left.append(first[rest])
+    right.append(rest)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sampled_pairs(texts: DataFrame, n: int) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of nodes: the rows of all tables, sorted over the cluster, are cut into
+    buckets run by run; a bucket at the edge of a run is cut by it."""
+    used, cap = bits_used(n), CAP
+    rows = texts.select("node", F.posexplode("tables").alias("table", "bits")).select("node", (F.shiftleft(F.col("table").cast("long"), SAMPLED) + F.col("bits")).alias("spot"))
+    rows = rows.repartitionByRange("spot", "node").sortWithinPartitions("spot", "node").select("node", "spot")
 
-def _with_texts(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (m, n) of nodes whose texts are similar enough."""
-    texts = settle(_texts_of(docs, text_col, pairs.select(F.explode(F.array("m", "n")).alias("id")).distinct()).withColumn("node", _node("key")))
-    for node, side, text in (("m", "a", "x"), ("n", "b", "y")):
-        pairs = pairs.join(texts.select(F.col("node").alias(node), F.col("key").alias(side), F.col("text").alias(text)), node)
-    return _checked(pairs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
+        def cut() -> pa.RecordBatch:
+            nodes, spots = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            i, j = split(spots, used, cap)
+            a, b = nodes[i], nodes[j]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-def _sampled_links(docs: DataFrame, texts: DataFrame, n: int, text_col: str) -> DataFrame:
-    """Verified links (a, b) between keys of ``texts`` that share a bucket. Candidates are found on 60 bits of
-    the keys; the prints that verify them join later, only for candidates, and the texts only for pairs whose
-    estimate is within ``SLACK`` of the similarity."""
-    used = bits_used(n)
-    rows = texts.select("node", F.posexplode("tables").alias("table", "bits"))
-    rows = rows.select("node", "bits", F.xxhash64("table", F.shiftright("bits", SAMPLED - used)).alias("bucket"))
-    pairs = bucket_links(rows, "bucket", "node", CAP - 1, ["bits"]).distinct()
-    for x in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("key").alias(f"{x}_key"), F.col("runs").alias(f"{x}_runs"), F.col("fine").alias(f"{x}_fine")), x)
-    pairs = pairs.withColumn("near", estimate("a", "b")).where(F.col("near") >= SIMILARITY - SLACK)
-    pairs = settle(pairs.select(F.col("a").alias("m"), F.col("b").alias("n"), F.col("a_key").alias("a"), F.col("b_key").alias("b"), "near"))
-    sure, unsure = pairs.where(F.col("near") >= SIMILARITY + SLACK), pairs.where(F.col("near") < SIMILARITY + SLACK)
-    return sure.select("a", "b").unionByName(_with_texts(docs, text_col, unsure.select("m", "n")))
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= RUN:
+                yield cut()
+                held = []
+        if held:
+            yield cut()
 
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
-def _leads(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """(node, n, lead) of the distinct texts with words: their runs for ``alike``. n: how many texts there are."""
-    text = docs.select(F.col(text_col).alias("text"))
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(features(x.as_py())[1].view(np.int64))], names=["element"])
+def _links(docs: DataFrame, texts: DataFrame, n: int, text_col: str, scratch: Scratch) -> DataFrame:
+    """(node, root): the components of all links between texts, written. Of texts (one a node) those
+    with words have links."""
+    sizes = texts.select("node", F.col("runs").alias("n"))
 
-    some = text.where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n)).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(often(some.mapInArrow(every, "element bigint")))
+    def sets(ids: DataFrame) -> DataFrame:
+        return _runs_of(docs, text_col, ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = {hashlib.md5((x or "").encode("utf-8", "surrogatepass")).hexdigest(): x for x in b.column(0).to_pylist()}
-            names, sizes, leads = [], [], []
-            for k, x in texts.items():
-                runs = features(x)[1].view(np.int64)
-                if len(runs):
-                    names.append(short(k))
-                    sizes.append(len(runs))
-                    leads.append(leading(runs, shared.value, SIMILARITY))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.list_(pa.int64()))], names=["node", "n", "lead"])
-
-    return text.mapInArrow(run, "node bigint, n bigint, lead array<bigint>").groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
-
-
-def links(docs: DataFrame, sketches: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Roots (node, root) of the texts that the tables link, and the verified links (a, b) between texts of
-    different roots: all there are. Nodes are keys of texts with words."""
-    texts = sketches.where("runs > 0").groupBy("key").agg(F.first("runs").alias("runs"), F.first("tables").alias("tables"), F.first("fine").alias("fine"))
-    texts = settle(texts.withColumn("node", _node("key")))
-    n = texts.count()
-    roots = settle(components(_sampled_links(docs, texts, n, text_col)))
-    known = roots.select(_node("node").alias("it"), _node("root").alias("root"))
-    sets = _leads(docs, text_col, n)
-    sets = sets.join(known, sets["node"] == known["it"], "left").select("node", F.coalesce("root", "node").alias("root"), "n", "lead")
-    pairs = settle(alike(sets, SIMILARITY).select(F.col("a").alias("m"), F.col("b").alias("n")))
-    return roots, settle(_with_texts(docs, text_col, pairs))
+    pairs = _sampled_pairs(texts, n)
+    for x in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("runs").alias(f"{x}_runs"), F.col("fine").alias(f"{x}_fine")), x)
+    pairs = pairs.where(estimate("a", "b") >= SIMILARITY - SLACK).select("a", "b")
+    roots = scratch.put(components(verified(pairs, sizes, sets, _longs, SIMILARITY, scratch), scratch))
+    rows = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("runs").alias("n"), "lead", "common")
+    rest = scratch.put(verified(alike(rows, SIMILARITY, scratch), sizes, sets, _longs, SIMILARITY, scratch))
+    return joined_roots(roots, rest, scratch)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,27 +237,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A class holds equal texts and texts linked by a similarity of at least 0.8 (Jaccard, runs of five
     words), directly or through others. One row of each class is kept: the one with the least (id,
     digest), null ids last; if rows repeat it, all of these are marked. A null text is empty, and
-    texts without words are a class if equal. Other columns are ignored.
+    texts without words are a class if equal. Texts are told apart by 64 bits of their digest. Other columns are ignored.
     """
-    sketches = settle(sketch(docs, id_col, text_col))
-    roots, rest = links(docs, sketches, text_col)
-    if not rest.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    texts = sketches.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("least"), F.count("*").alias("rows"))
-    texts = texts.join(roots, texts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
-    heads = texts.groupBy("root").agg(F.min("least").alias("head"), F.sum("rows").alias("class_size")).select(F.col("root").alias("r"), "head", "class_size")
-    texts = texts.join(heads, F.col("root") == F.col("r")).select(F.col("key").alias("k"), "head", "class_size")
-    rows = sketches.select("id", "key").join(texts, F.col("key") == F.col("k"))
-    kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
-    return rows.select(F.col("id").alias("doc_id"), F.col("head.id").alias("class_id"), kept.alias("kept"), "class_size", F.col("key").alias("text_md5"))
+    scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)  # what the result reads stays
+    common = frequent_runs(docs, text_col, docs.count())
+    sketches = scratch.put(sketch(docs, id_col, text_col, common))
+    rows = kept.put(sketches.select("id", "key", "node"))
+    columns = ("runs", "tables", "fine", "lead", "common")
+    texts = scratch.put(sketches.where("runs > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
+    roots = kept.put(_links(docs, texts, texts.count(), text_col, scratch))
+    scratch.drop()
+    heads = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("least"), F.count("*").alias("rows"))
+    heads = kept.put(heads.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "rows"))
+    tops = heads.groupBy("root").agg(F.min("least").alias("head"), F.sum("rows").alias("class_size"))
+    heads = kept.put(salted_join(heads.select("node", "root"), "root", "node", tops).select("node", "head", "class_size"))
+    rows = salted_join(rows, "node", "id", heads)
+    is_kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("head.id").alias("class_id"), is_kept.alias("kept"), "class_size", F.col("key").alias("text_md5"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classes`` keeps; of repeated rows one."""
+    """The rows of ``docs`` that ``classes`` keeps; of rows equal in id and text the one with the least hash of all
+    its columns. A null text counts as empty, so of null and empty texts one row stays."""
     i, m, r = (free_name(docs, x) for x in ("near_id", "near_md5", "near_row"))
     kept = classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(i), F.col("text_md5").alias(m)).distinct()
     rows = docs.withColumn(r, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     rows = rows.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(r) == F.col(m)))
-    one = Window.partitionBy(i, m).orderBy(r)
-    f = free_name(rows, "near_first")
-    return rows.withColumn(f, F.row_number().over(one)).where(F.col(f) == 1).select(*docs.columns)
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = rows.groupBy(i, m).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias(r))
+    return one.select(f"{r}.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, small_batches
+from ._common import free_name, pieces
 
 SYMBOLS = 44
 ORDER = 3
@@ -153,14 +153,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[st
     A null text, one without a letter and, with no language learned, any text is ``und`` with score 0.
     Whole texts are read, in chunks; other columns and repeated rows are kept as they are; new columns get
     underscores in front if their names are taken."""
-    small_batches(docs.sparkSession)
     pred, score = free_name(docs, out[0]), free_name(docs, out[1])
     model_of = docs.sparkSession.sparkContext.broadcast((model.langs, model.fold, model.order, model.table))  # at most TABLE_BYTES
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model_of.value)
-        for b in batches:
+        for b in pieces(batches, at):
             text = b.column(at).cast(pa.large_string())
             known = np.array([bool(m.langs) and x is not None and _LETTER.search(x) is not None for x in text.to_pylist()], bool)
             langs, scores = np.full(len(text), UND, object), np.zeros(len(text))

@@ -15,7 +15,7 @@ from re import _parser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import pieces
 from .license_rules import RULES
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -96,13 +96,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A null text is empty: no words, no labels, score 0. Nulls in the id are kept, other columns ignored,
     repeated rows scanned as often as they occur; whole texts are read. The score is 1 with a base
     place, else the best priority over 100."""
-    small_batches(docs.sparkSession)
     fields = [x.split()[0] for x in SCHEMA.split(", ")]
     cell = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("priority", pa.int32())]))
     types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), cell]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 n, base, hits = scan(text.as_py())

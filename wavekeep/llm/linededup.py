@@ -4,7 +4,7 @@ Equal lines are found by digest. For nearly equal ones each line gets a one-perm
 signature of its character shingles (windows of ``SHINGLE`` UTF-8 bytes), cut into bands; lines that
 agree on a band are candidates, verified by the exact Jaccard similarity of their shingles, and joined by
 distributed union-find. Of a large bucket a line first meets a few others only; its lines that are not
-linked by then meet again if they share one of their rarest shingles, which leaves out no similar pair.
+linked by then meet again if they share one of their rarest shingles, which leaves out no similar pair of them.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import alike, bucket_links, components, free_name, id_filter, leading, often, passes, settle, short, small_batches
+from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, short, verified
 
 SHINGLE = 8
 LEAST_SHINGLES = 4  # below, two different lines can't reach the similarity
@@ -27,12 +27,16 @@ BINS = BANDS * ROWS
 CHUNK = 1 << 17
 #: Lines whose sketches a task remembers having sent.
 REMEMBERED = 1 << 20
+NEAR = 7  # rows of a band bucket before a line that it meets; a bucket of up to one more has all its pairs
+RUN = 1 << 19  # rows of sorted buckets that are handled at once
+BLANK = " \t\r\x0b\x0c"
 SAMPLE = 20_000  # lines of which the frequent shingles are learned
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def digest(line: bytes) -> str:
-    return hashlib.md5(line).hexdigest()
+def name(line: bytes) -> int:
+    """A line's name in joins: the first 64 bits of its digest."""
+    return short(hashlib.md5(line).digest())
 
 
 def windows(data: np.ndarray) -> np.ndarray:
@@ -112,12 +116,13 @@ def _distinct_lines(texts: list) -> dict[bytes, None]:
 
 
 def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
-    """(line, bands) of the lines of at least LEAST_SHINGLES shingles; line: ``short`` of the digest."""
+    """(line, bands) of the lines of at least LEAST_SHINGLES shingles; line: their ``name``. A task sends a line once
+    as a rule, so the same line comes from each task at most a few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for b in batches:
-            found = {short(digest(x)): x for x in _distinct_lines(b.column(0).to_pylist()) if len(x) >= SHINGLE + LEAST_SHINGLES - 1}
+        for b in pieces(batches, 0):
+            found = {name(x): x for x in _distinct_lines(b.column(0).to_pylist()) if len(x) >= SHINGLE + LEAST_SHINGLES - 1}
             names = [k for k in found if k not in sent]
             lines, at = [found[k] for k in names], 0
             sent.update(names)
@@ -136,6 +141,55 @@ def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "line bigint, bands array<bigint>")
 
 
+def near_rows(buckets: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines of sorted ``buckets``: each row with the ``NEAR`` before it and with the first of its bucket. Of
+    buckets with more rows than that covers, and of those at the edges of the arrays, each line is also paired with itself:
+    it may have partners that it did not meet. Repeated rows follow each other and count once."""
+    new = np.concatenate([[True], (buckets[1:] != buckets[:-1]) | (lines[1:] != lines[:-1])])[: len(buckets)]
+    buckets, lines = buckets[new], lines[new]
+    n = len(buckets)
+    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])[:n])
+    sizes = np.diff(np.append(starts, n))
+    large = sizes > NEAR + 1
+    large[[0, -1]] = True
+    left, right = [], []
+    for k in range(1, min(NEAR + 1, n)):
+        i = np.flatnonzero(buckets[k:] == buckets[:-k])
+        left.append(lines[i])
+        right.append(lines[i + k])
+    far = np.arange(n) - np.repeat(starts, sizes) > NEAR
+    left.append(lines[np.repeat(starts, sizes)[far]])
+    right.append(lines[far])
+    marked = lines[np.repeat(large, sizes)]
+    return np.concatenate([*left, marked]), np.concatenate([*right, marked])
+
+
+def _banded(sketches: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b), a <= b, of lines: the rows of all bands, sorted over the cluster (in a bucket by a
+    hash that differs from bucket to bucket, so that each of a line's buckets offers other partners)."""
+    rows = sketches.select("line", F.posexplode("bands").alias("band", "key")).select("line", F.xxhash64("band", "key").alias("bucket"))
+    rows = rows.withColumn("order", F.xxhash64("bucket", "line"))
+    rows = rows.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "line").select("bucket", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cut() -> pa.RecordBatch:
+            a, b = near_rows(*[np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)])
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        for x in batches:
+            held.append(x)
+            if sum(map(len, held)) >= RUN:
+                yield cut()
+                held = []
+        if sum(map(len, held)):
+            yield cut()
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
     """(line, text) of the candidate lines, and a few others."""
     words = id_filter(ids)
@@ -143,89 +197,79 @@ def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for b in batches:
+        for b in pieces(batches, 0):
             lines = list(_distinct_lines(b.column(0).to_pylist()))
-            key = np.array([short(digest(x)) for x in lines], np.int64)
+            key = np.array([name(x) for x in lines], np.int64)
             some = np.flatnonzero(passes(held, key))
             yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array([lines[i] for i in some], pa.binary())], names=["line", "text"])
 
-    return docs.select(text_col).mapInArrow(run, "line bigint, text binary").distinct()
+    return docs.select(text_col).mapInArrow(run, "line bigint, text binary").groupBy("line").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(a, b): digests of the pairs of texts (x, y) whose similarity is high enough."""
+    """(a, b) of the pairs (a, b, x, y) whose texts x and y are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs, ys, at, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, []
+        for b in pieces(batches, 2):
+            xs, ys, at, near = b.column(2).to_pylist(), b.column(3).to_pylist(), 0, [np.zeros(0, bool)]
             while at < len(xs):
                 end, size = at + 1, len(xs[at])
                 while end < len(xs) and end - at < 1 << 12 and size + len(xs[end]) <= CHUNK:
                     size, end = size + len(xs[end]), end + 1
-                near = jaccard(xs[at:end], ys[at:end]) >= SIMILARITY
-                rows += [(digest(x), digest(y)) for x, y, s in zip(xs[at:end], ys[at:end], near, strict=True) if s and x != y]
+                near.append(jaccard(xs[at:end], ys[at:end]) >= SIMILARITY)
                 at = end
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["a", "b"])
+            keep = pa.array(np.concatenate(near))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.select("x", "y").mapInArrow(run, "a string, b string")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _leads(texts: DataFrame, n: int) -> DataFrame:
-    """(node, n, lead) of lines (line, text): their shingles for ``alike``. n: how many lines there are."""
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_marked([x]).view(np.int64))], names=["element"])
+    """(node, n, lead, common) of lines (line, text): their shingles for ``alike``. n: how many lines there are."""
 
     some = texts.where(F.shiftrightunsigned(F.xxhash64("line"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n))
-    shared = texts.sparkSession.sparkContext.broadcast(often(some.select("text").mapInArrow(every, "element bigint")))
+    shared = texts.sparkSession.sparkContext.broadcast(often(some.select("text"), _shingles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_marked([x]).view(np.int64) for x in b.column(1).to_pylist()]
             leads = [leading(x, shared.value, SIMILARITY) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(leads, pa.list_(pa.int64()))], names=["node", "n", "lead"])
+            columns = [pa.array(list(map(len, sets)), pa.int64()), pa.array([x for x, _ in leads], pa.list_(pa.int64())), pa.array([c for _, c in leads], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["node", "n", "lead", "common"])
 
-    return texts.select("line", "text").mapInArrow(run, "node bigint, n bigint, lead array<bigint>")
+    return texts.select("line", "text").mapInArrow(run, "node bigint, n bigint, lead array<bigint>, common int")
 
 
-def links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """Roots (node, root) of the lines that are linked at first, and the verified links (a, b) between lines of
-    different roots in large buckets, all there are (None without such buckets). Nodes are digests."""
-    sketches = _sketches(docs, text_col)
-    rows = sketches.select("line", F.posexplode("bands").alias("band", "key")).select("line", F.xxhash64("band", "key").alias("bucket"))
-    # one shuffle: a task sends a line once, so a bucket gets it once from each task at most
-    pairs = settle(bucket_links(rows.repartition("bucket").distinct(), "bucket", "line", large=True).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = settle(_texts_of(docs, text_col, ids))
+def _shingles(line: bytes) -> np.ndarray:
+    return _marked([line]).view(np.int64)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
-        return _verified(joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b"))
 
-    roots = settle(components(verified(pairs.where("a <> b"))))
+def roots(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """(node, root) of all lines that have a similar one, both as ``name``."""
+    pairs = scratch.put(_banded(scratch.put(_sketches(docs, text_col))))
+    texts = scratch.put(_texts_of(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    joined = salted_join(pairs.where("a <> b"), "a", "b", texts.select(F.col("line").alias("a"), F.col("text").alias("x")))
+    joined = joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
+    out = scratch.put(components(_verified(joined), scratch))
     large = pairs.where("a = b").select(F.col("a").alias("line"))
     n = large.count()
     if not n:
-        return roots, None
-    sets = _leads(texts.join(large, "line", "left_semi"), n)
-    it, root = (F.conv(F.substring(x, 1, 15), 16, 10).cast("long") for x in ("node", "root"))
-    known = roots.select(it.alias("it"), root.alias("root"))
-    sets = sets.join(known, sets["node"] == known["it"], "left").select("node", F.coalesce("root", "node").alias("root"), "n", "lead")
-    return roots, settle(verified(alike(sets, SIMILARITY)))
+        return out
+    some = scratch.put(texts.join(large, "line", "left_semi"))
+    sets = scratch.put(_leads(some, n))
+    rows = sets.join(out, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "lead", "common")
+    held = some.select(F.col("line").alias("node"), F.col("text").alias("held"))
+    rest = verified(alike(rows, SIMILARITY, scratch), sets.select("node", "n"), lambda ids: held.join(ids, held["node"] == ids["id"], "left_semi"), _shingles, SIMILARITY, scratch)
+    return joined_roots(out, scratch.put(rest), scratch)
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, m, at): for each document (id and hash of its text) the places of the lines that it keeps."""
+def kept_lines(docs: DataFrame, id_col: str, text_col: str, links: DataFrame) -> DataFrame:
+    """(d, m, at): for each document (id and hash of its text) the places of the lines that it keeps. links: ``roots``."""
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("m"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
-    rows = rows.where(F.length(F.trim("line")) > 0).select("d", "m", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("k"))
+    rows = rows.where(F.length(F.trim(F.translate("line", BLANK, " " * len(BLANK)))) > 0).select("d", "m", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("k"))
     firsts = rows.groupBy("k").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "m", "at")).alias("first"))
-    roots, rest = links(docs, text_col)
-    if rest is not None and not rest.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    roots = roots.select(F.unhex("node").alias("node"), F.unhex("root").alias("root"))
-    firsts = firsts.join(roots, F.col("k") == F.col("node"), "left").select(F.coalesce("root", "k").alias("k"), "first")
+    named = firsts.withColumn("node", F.conv(F.substring(F.hex("k"), 1, 16), 16, -10).cast("long"))
+    firsts = named.join(links, "node", "left").select(F.coalesce(F.concat(F.lit("root "), F.col("root").cast("string")).cast("binary"), "k").alias("k"), "first")
     firsts = firsts.groupBy("k").agg(F.min("first").alias("first"))
     return firsts.groupBy("first.d", "first.m").agg(F.collect_list("first.at").alias("at"))
 
@@ -234,37 +278,43 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     """``docs`` with the text reduced to the lines it keeps, and two more columns: its lines and those dropped.
 
     Of equal lines, and of lines linked by a Jaccard similarity of at least 0.8 directly or through
-    others, the one in the least (id, hash of text, place) stays, null ids last. Lines of white space
-    only stay as they are. A null text stays null, with no lines. Rows equal in id and text are one
-    document: each keeps the same lines. Other columns are kept; new ones get underscores in
-    front if their names are taken.
+    others, the one in the least (id, hash of text, place) stays, null ids last. Empty lines and lines of spaces,
+    tabs and other ASCII white space stay as they are. A null text stays null, with no lines. Of rows equal in id
+    and text one (that with the least hash of all its columns) keeps the lines. Other columns are kept; new ones
+    get underscores in front if their names are taken.
     """
-    small_batches(docs.sparkSession)
-    d, m, at = (free_name(docs, x) for x in ("line_d", "line_m", "line_at"))
+    scratch = Scratch(docs.sparkSession)
+    kept = kept_lines(docs, id_col, text_col, roots(docs, text_col, scratch))
+    key, row, first, at = (free_name(docs, x) for x in ("line_key", "line_row", "line_first", "line_at"))
     lines, dropped = (free_name(docs, x) for x in counts)
-    kept = kept_lines(docs, id_col, text_col).select(F.col("d").alias(d), F.col("m").alias(m), F.col("at").alias(at))
-    h = free_name(docs, "line_h")
-    rows = docs.withColumn(h, F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col(d)) & (F.col(h) == F.col(m)), "left")
-    rows = rows.select(*docs.columns, at)
+
+    def keyed(i: str, h: str) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), F.col(h).cast("string"))
+
+    kept = kept.select(keyed("d", "m").alias(key), F.col("at").alias(at))
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.withColumn(row, F.xxhash64(text_col)).withColumn(key, keyed(id_col, row)).withColumn(row, F.xxhash64(*hashed))
+    rows = rows.join(kept, key, "left").withColumn(first, F.row_number().over(Window.partitionBy(key).orderBy(row)) == 1)
+    rows = rows.select(*docs.columns, at, first)
     where = docs.columns.index(text_col)
     out = docs.limit(0).withColumn(lines, F.lit(0).cast("long")).withColumn(dropped, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, where):
             texts, n_lines, n_dropped = [], [], []
-            for text, places in zip(b.column(where), b.column(b.num_columns - 1), strict=True):
-                text, places = text.as_py(), set(places.as_py() or ())
+            for text, places, mine in zip(b.column(where), b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
+                text, places = text.as_py(), set(places.as_py() or ()) if mine.as_py() else set()
                 if text is None:
                     texts.append(None)
                     n_lines.append(0)
                     n_dropped.append(0)
                     continue
                 had = text.split("\n")
-                has = [x for i, x in enumerate(had) if i in places or not x.strip(" ")]
+                has = [x for i, x in enumerate(had) if i in places or not x.strip(BLANK)]
                 texts.append("\n".join(has))
                 n_lines.append(len(had))
                 n_dropped.append(len(had) - len(has))
-            columns = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(b.num_columns - 1)]
+            columns = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(b.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[f.name for f in out.fields])
 
     return rows.mapInArrow(run, out)

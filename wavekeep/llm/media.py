@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import pieces
 
 UNIT = 192
 _NEXT = re.compile(rb"\xff[^\x00\xff]", re.S)
@@ -397,13 +397,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     rows are stored as often as they occur; an empty table gives no rows. Memory is bounded by a
     few times the longest text.
     """
-    small_batches(docs.sparkSession, 500)
     schema = SCHEMA + (", media binary" if keep_media else "") + (", tensor binary, high bigint, wide bigint" if keep_tensor else "")
     types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")

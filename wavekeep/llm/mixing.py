@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, settle
+from ._common import Scratch, free_name
 
 WEIGHTS = (5, 2, 1)
 CAP = 2.0
@@ -58,7 +58,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), digest.alias("text_md5"))
-    rows = settle(
+    rows = Scratch(docs.sparkSession).put(
         rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 16).cast("int")).withColumn(
             "bucket", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_md5")), 1, 7), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int")
         )

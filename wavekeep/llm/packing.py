@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import pieces
 
 END = 0
 TIERS = (1024, 512, 256, 128)
@@ -169,7 +169,6 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, i
     """
     if any(t & (t - 1) or t < 1 for t in tiers):
         raise ValueError("tier lengths are powers of two")
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
@@ -180,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(names))], names=names)
 
         rows: list[tuple] = []
-        for b in batches:
+        for b in pieces(batches, 1):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = array("I", encode(text.as_py() or ""))
                 ids.append(END)
