@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavekeep.llm import bitsample, langid, linededup, mixing, packing
 from wavekeep.llm.queries import tokenizer_path
+from wavekeep.sources.store import Scratch
 
 LEAST_SCORE = 0.5
 
@@ -27,17 +28,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that with the least id (nulls last); a null text is empty, and of rows
+    equal in id and text one stays."""
     return bitsample.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it (0 to 2 times), its other columns unchanged; a null source is a source of
+    its own, a null text has no words. Equal rows share their copies."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences; a null or empty text is one piece of one id, and repeated rows are packed as often
+    as they occur."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -48,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages in turn. What a stage returns is written and read again, so that it runs once however often the next
+    one reads it; what came before it is dropped then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        now = Scratch(spark)
+        docs = now.put(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before = now
+    return STAGES[-1][1](spark, docs, sf_dir)

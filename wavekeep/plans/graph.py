@@ -154,7 +154,7 @@ class Graph:
             return [tasks[0]()]
 
         def tagged(task: Callable[[], object]) -> object:
-            self.spark.addTag(self.tag)
+            self.spark.sparkContext.addJobTag(self.tag)
             return task()
 
         with ThreadPoolExecutor(len(tasks)) as pool:
@@ -170,19 +170,19 @@ class Graph:
         for name in inputs:
             if self.stages[name].sources:
                 raise ValueError(f"{name} is not a root")
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         scratch = Scratch(self.spark)
         try:
             newest = max(self.store.versions(self.spark), default=0)
             base = newest if based_on is None else based_on
             return self._update(inputs, base, newest + 1, stream, validate, scratch)
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
             scratch.drop()
 
     def cancel(self) -> None:
         """Interrupts the wave that another thread is running; its version is not committed."""
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def vacuum(self, keep: int = 1) -> list[int]:
         """Drops all but the newest versions, with the files that only they name."""

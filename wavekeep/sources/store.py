@@ -59,6 +59,14 @@ class Scratch:
         fs.delete(p, True)
 
 
+def _count(seen: Observation, written: DataFrame, path: str) -> int:
+    """Rows written. An observation is lost if the optimizer finds that there are none; then the files are asked."""
+    try:
+        return seen.get["n"]
+    except Exception:
+        return written.sparkSession.read.schema(written.schema).parquet(path).count()
+
+
 class Store(Protocol):
     buckets: int
 
@@ -96,12 +104,13 @@ class ParquetStore:
         path, seen = self.path(stage, wave, kind), Observation()
         if bucket is None:
             df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-            return {"": wave}, seen.get["n"]
+            return {"": wave}, _count(seen, df, path)
         rows = df.withColumn(BUCKET, bucket.cast("int")).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *sort).write.partitionBy(BUCKET).parquet(path)
         fs, p = file_at(df.sparkSession, path)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return {x.removeprefix(f"{BUCKET}="): wave for x in names if x.startswith(f"{BUCKET}=")}, seen.get["n"]
+        found = {x.removeprefix(f"{BUCKET}="): wave for x in names if x.startswith(f"{BUCKET}=")}
+        return found, _count(seen, df, path) if found else 0
 
     def commit(self, spark: SparkSession, manifest: dict) -> None:
         """Makes a version count, by one rename. Raises if another process has taken its number."""
