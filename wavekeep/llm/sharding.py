@@ -3,8 +3,8 @@
 A tree has regions, racks and shards. A row descends it: at each level every child draws
 ``-ln(u) / weight`` with u a hash of (id, path of the child), and the least draw wins, so a child gets rows in
 proportion to its weight and a changed weight moves rows only into or out of that child's subtree.
-A shard beyond the first ``base`` opens a region of its own, so one more shard takes rows into
-itself and moves none between the others.
+A shard beyond the first ``base``, with which a cluster began, opens a region of its own, so one more shard takes
+rows into itself and moves none between the others.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 from ._common import free_name
 
 Tree = dict[str, dict[str, dict[int, float]]]
+ROWS_A_BUCKET, MOST_BUCKETS = 100_000, 1 << 16
 
 
-def tree(shards: int, base: int = 24, per_rack: int = 4, racks: int = 3) -> Tree:
-    """Shards 0 to ``shards`` - 1; the first ``base`` in full racks and regions, each later one alone."""
-    if shards < 1:
-        raise ValueError("a tree needs at least one shard")
+def tree(shards: int, base: int | None = None, per_rack: int = 4, racks: int = 3) -> Tree:
+    """Shards 0 to ``shards`` - 1; the first ``base`` (all, up to 24, if not said) in full racks and regions, each later
+    one alone. Rows keep their places from one count to the next only under one base, so no count is below it."""
+    base = min(shards, 24) if base is None else base
+    if not 1 <= base <= shards:
+        raise ValueError("a tree needs at least one shard, and no fewer than it began with")
     out: Tree = {}
-    for s in range(min(shards, base)):
+    for s in range(base):
         rack = s // per_rack
         out.setdefault(f"region{rack // racks}", {}).setdefault(f"rack{rack}", {})[s] = 1.0
     for s in range(base, shards):
@@ -61,24 +64,26 @@ def _draw(key: Column, child: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
     """Adds size, text_crc32, law, shard, slot and grown_shard to the id column.
 
     Only the id and the text are read; other columns, whatever their names, are ignored. A null text
     has size 8 and checksum 0; a null id is an id. Slots count from 0 in each shard without gaps:
-    each shard is split into ``buckets`` by a hash of size, checksum and id, counted, and numbered
+    each shard is split by a hash of the id into buckets of about ``ROWS_A_BUCKET`` rows, counted, and numbered
     within its bucket from the rows before it, so no task gets a whole shard. Repeated rows take
-    consecutive slots. An empty table gives an empty result.
+    consecutive slots. An empty table gives an empty result. ``base``: see ``tree``.
     """
     key, text = F.col(id_col), F.col(text_col)
+    base = min(shards, 24) if base is None else base
+    buckets = min(MOST_BUCKETS, max(64, docs.count() // (shards * ROWS_A_BUCKET)))
     rows = docs.select(
         key.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        assign(key, tree(shards)).alias("shard"),
-        assign(key, tree(shards + 1)).alias("grown_shard"),
+        assign(key, tree(shards, base)).alias("shard"),
+        assign(key, tree(shards + 1, base)).alias("grown_shard"),
     ).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    ids = docs.select(key.alias("doc_id")).select(assign(F.col("doc_id"), tree(shards)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    ids = docs.select(key.alias("doc_id")).select(assign(F.col("doc_id"), tree(shards, base)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     counts = ids.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
