@@ -26,6 +26,7 @@ END = 0
 TIERS = (1024, 512, 256, 128)
 OPEN = 64
 GROUP_TOKENS = 1 << 16
+GROUPS = 4  # step groups that are filled side by side
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, step_group bigint"
 
 
@@ -36,10 +37,23 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def is_plain(said: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE whose merges are its ids in order: tiktoken can run these."""
+    model, before = said["model"], said.get("pre_tokenizer") or {}
+    same = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or said.get("normalizer") or any(before.get(k) != v for k, v in same.items()) or any(model.get(k) for k in odd):
+        return False
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids = [model["vocab"].get(m, -1) for m in joined]
+    singles = {model["vocab"].get(c, -1) for c in _bytes_of()}
+    return -1 not in singles and all(a < b for a, b in zip([max(singles), *ids], ids)) and len(model["vocab"]) <= 256 + len(ids) + len(said["added_tokens"])
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text under a byte-level BPE file, as the tokenizers library gives them without special
-    tokens. Ranks are ids in such files, so the faster tiktoken runs them; a text in which the name of
-    an added token occurs goes to tokenizers itself."""
+    """Ids of a text under a tokenizer file, as the tokenizers library gives them without special tokens. If
+    the file is a plain byte-level BPE the faster tiktoken runs it; a text in which the name of an added
+    token occurs, and any text under another kind of file, goes to tokenizers itself."""
     import tiktoken
 
     made = vars(tiktoken).setdefault("_byte_level_encoders", {})  # for the next task of this worker
@@ -47,6 +61,12 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         return made[path]
     with open(path) as f:
         said = json.load(f)
+    if not is_plain(said):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        made[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
+        return made[path]
     back = _bytes_of()
     added = [x["content"] for x in said["added_tokens"]]
     ranks = {bytes(back[c] for c in k): v for k, v in said["model"]["vocab"].items() if k not in added}
@@ -75,15 +95,18 @@ class Packer:
         self.tiers = sorted(tiers, reverse=True)
         self.open: dict[int, list[list]] = {t: [] for t in self.tiers}  # [room, pieces]
         self.waiting: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # pieces, longest last
-        self.next, self.group, self.filled = first_sequence, first_sequence, 0
+        self.next = first_sequence
+        self.groups = {first_sequence + i: 0 for i in range(GROUPS)}  # tokens of the open step groups
 
     def close(self, pieces: list[tuple], length: int) -> list[tuple]:
-        if self.filled + length > GROUP_TOKENS:
-            self.group, self.filled = self.group + 1, 0
-        self.filled += length
+        group = min(self.groups, key=lambda g: (self.groups[g], g))
+        if self.groups[group] + length > GROUP_TOKENS:  # the others have no more room either, or less than a sequence
+            group = max(self.groups) + 1
+            self.groups = {group + i: 0 for i in range(GROUPS)}
+        self.groups[group] += length
         out, at = [], 0
         for doc, start, ids, total in pieces:
-            out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, at, length, self.group))
+            out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, at, length, group))
             at += len(ids)
         self.next += 1
         return out
