@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ._common import free_name
 
 BASE = ("email", "ip", "card", "phone")
-WINDOW = 48
+WINDOW = 48  # characters before a span that count as near it; after it half as many do
+DOUBT = r"\b(?:example|sample|dummy|fake|placeholder|version|isbn|serial|invoice|part no|beispiel|exemple|ejemplo)\b"
 
 
 @dataclass(frozen=True)
@@ -69,14 +70,16 @@ def _quote(x: str) -> str:
 
 def _spans(t: str, m: str, p: str, kind: Kind, threshold: float) -> str:
     """SQL for the confirmed spans of one kind. m: its matches; p: the pieces between them. A match's
-    start is the length of all pieces up to it and of all matches before it, added up in blocks of 128
-    so that the work stays below the square of the matches."""
+    start is the length of all pieces up to it and of all matches before it: sums of blocks of 128 are added up
+    once, so a match costs at most 128 additions."""
     step = f"transform({m}, (x, i) -> length(x) + length({p}[i]))"
     blocks = f"transform(sequence(0, (size({m}) - 1) div 128), b -> aggregate(slice(steps, b * 128 + 1, 128), 0, (s, x) -> s + x))"
-    at = f"aggregate(slice(blocks, 1, i div 128), 0, (s, x) -> s + x) + aggregate(slice(steps, (i div 128) * 128 + 1, i % 128), 0, (s, x) -> s + x) + length({p}[i])"
-    # steps and blocks are bound by transforms over arrays of one element
-    placed = f"flatten(transform(array({step}), steps -> flatten(transform(array({blocks}), blocks -> transform({m}, (m, i) -> struct(m as m, {at} as start))))))"
-    score = f"{kind.score} + if(lower(substr({t}, greatest(1, x.start + 1 - {WINDOW}), least({WINDOW}, x.start))) rlike {_quote(kind.context)}, 0.1, 0.0)"
+    sums = "transform(blocks, (x, b) -> aggregate(slice(blocks, 1, b), 0, (s, x) -> s + x))"
+    at = f"sums[cast(i div 128 as int)] + aggregate(slice(steps, (i div 128) * 128 + 1, i % 128), 0, (s, x) -> s + x) + length({p}[i])"
+    # steps, blocks and sums are bound by transforms over arrays of one element
+    placed = f"flatten(transform(array({step}), steps -> flatten(transform(array({blocks}), blocks -> flatten(transform(array({sums}), sums -> transform({m}, (m, i) -> struct(m as m, {at} as start))))))))"
+    around = f"lower(concat(substr({t}, greatest(1, x.start + 1 - {WINDOW}), least({WINDOW}, x.start)), ' ', substr({t}, x.start + length(x.m) + 1, {WINDOW // 2})))"
+    score = f"{kind.score} + if({around} rlike {_quote(kind.context)}, 0.1, 0.0) - if({around} rlike {_quote(DOUBT)}, 0.1, 0.0)"
     rank = BASE.index(kind.name) if kind.name in BASE else len(BASE) + [k.name for k in KINDS].index(kind.name)
     found = f"transform(filter({placed}, x -> exists(array(x.m), m -> {kind.check})), x -> struct(x.start as start, {rank} as rank, x.start + length(x.m) as end, '{kind.name}' as kind, cast({score} as double) as score, x.m as value))"
     return found if kind.name in BASE else f"filter({found}, x -> x.score >= {threshold})"
