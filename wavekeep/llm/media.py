@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from ._common import pieces
 
 UNIT = 192
+STRIP = 1 << 12  # units that are inverse-transformed at once
 _NEXT = re.compile(rb"\xff[^\x00\xff]", re.S)
 _ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 
@@ -100,7 +101,7 @@ class Component:
     quant: int
     wide: int = 0  # in blocks, without those that only fill up a unit
     high: int = 0
-    coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 64), np.int32))  # rows, columns, zigzag
+    coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 64), np.int16))  # rows, columns, zigzag
     solid: set = field(default_factory=set)  # bands in which all coefficients are above zero
 
 
@@ -200,7 +201,7 @@ def _frame(image: Image, body: bytes) -> None:
     across, down = -(-image.wide // (8 * h)), -(-image.high // (8 * v))
     for p in image.parts.values():
         p.wide, p.high = -(-(-(-image.wide * p.h // h)) // 8), -(-(-(-image.high * p.v // v)) // 8)
-        p.coefficients = np.zeros((down * p.v, across * p.h, 64), np.int32)
+        p.coefficients = np.zeros((down * p.v, across * p.h, 64), np.int16)
 
 
 def _accumulate(image: Image, tables: dict, body: bytes, bits: _Bits) -> None:
@@ -239,7 +240,7 @@ def _dc(image: Image, parts: list, tables: dict, up: int, shift: int, bits: _Bit
     turn, places, where = image.orders[key]
     total = len(turn)
     if up:
-        got = bits.rest(total).astype(np.int32) << shift
+        got = bits.rest(total).astype(np.int16) << shift
         for k, (q, _) in enumerate(parts):
             q.coefficients.reshape(-1, 64)[where[k], 0] |= got[places[k]]
         return
@@ -277,7 +278,7 @@ def _ac_first(p: Component, table: dict, low: int, high: int, shift: int, bits:
     if 0 < kind <= 8 and n * (1 + kind) <= bits.end:
         rest = bits.rest(n * (1 + kind)).reshape(n, 1 + kind)
         if not rest[:, 0].any() and rest[:, 1].all():  # all are the one-bit symbol, of no run, with values above zero
-            values = np.packbits(rest[:, 1:], axis=1)[:, 0].astype(np.int32) >> (8 - kind)
+            values = np.packbits(rest[:, 1:], axis=1)[:, 0].astype(np.int16) >> (8 - kind)
             coefficients[:, :, low : high + 1] = (values << shift).reshape(p.high, p.wide, size)
             p.solid.add((low, high))
             return
@@ -309,7 +310,7 @@ def _ac_refine(p: Component, table: dict, low: int, high: int, shift: int, bits:
     if (low, high) in p.solid:
         code = bits.symbol(table)
         if not code & 15 and (run := (1 << (code >> 4)) + bits.take(code >> 4)) == n and code < 0xF0:  # one run over the whole band
-            coefficients[:, :, low : high + 1] |= bits.rest(n * size).reshape(p.high, p.wide, size).astype(np.int32) << shift
+            coefficients[:, :, low : high + 1] |= bits.rest(n * size).reshape(p.high, p.wide, size).astype(np.int16) << shift
             return
         bits.at = 0
     band = coefficients[:, :, low : high + 1].reshape(n, size)
@@ -318,7 +319,7 @@ def _ac_refine(p: Component, table: dict, low: int, high: int, shift: int, bits:
     while i < n:
         if run and full:  # nothing new can come: a correction bit for each coefficient of the run
             count = min(run, n - i)
-            band[i : i + count] += np.sign(band[i : i + count]) * (bits.rest(count * size).reshape(count, size).astype(np.int32) << shift)
+            band[i : i + count] += np.sign(band[i : i + count]) * (bits.rest(count * size).reshape(count, size).astype(np.int16) << shift)
             i, run = i + count, 0
             continue
         block, k = band[i], 0
@@ -357,18 +358,26 @@ def _ac_refine(p: Component, table: dict, low: int, high: int, shift: int, bits:
 def rgb(image: Image) -> np.ndarray:
     """(height, width, 3) of bytes; whole-number arithmetic, so equal images give equal tensors."""
     h, v = max(p.h for p in image.parts.values()), max(p.v for p in image.parts.values())
-    planes = []
-    for p in image.parts.values():
-        down, across, _ = p.coefficients.shape
-        dct = (p.coefficients * image.quants[p.quant]).reshape(-1, 64).astype(np.float64)
-        pixels = np.clip(np.floor(dct @ _BASIS / 65536 + 0.5) + 128, 0, 255).astype(np.int32)
-        plane = pixels.reshape(down, across, 8, 8).swapaxes(1, 2).reshape(down * 8, across * 8)
-        planes.append(plane.repeat(v // p.v, 0).repeat(h // p.h, 1)[: image.high, : image.wide])
-    if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
-    y, cb, cr = planes[0] * 65536 + 32768, planes[1] - 128, planes[2] - 128
-    out = np.stack([y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb], 2) >> 16
-    return np.clip(out, 0, 255).astype(np.uint8)
+    out = np.empty((image.high, image.wide, 3), np.uint8)
+    across = max(p.coefficients.shape[1] // p.h for p in image.parts.values())
+    step = max(1, STRIP // across)
+    for unit in range(0, -(-image.high // (8 * v)), step):  # strips of so many rows of units, so that wide numbers are few
+        top, planes = unit * 8 * v, []
+        for p in image.parts.values():
+            strip = p.coefficients[unit * p.v : (unit + step) * p.v]
+            down, blocks, _ = strip.shape
+            dct = (strip.astype(np.int64) * image.quants[p.quant]).reshape(-1, 64).astype(np.float64)
+            pixels = np.clip(np.floor(dct @ _BASIS / 65536 + 0.5) + 128, 0, 255).astype(np.int32)
+            plane = pixels.reshape(down, blocks, 8, 8).swapaxes(1, 2).reshape(down * 8, blocks * 8)
+            planes.append(plane.repeat(v // p.v, 0).repeat(h // p.h, 1)[: image.high - top, : image.wide])
+        to = out[top : top + len(planes[0])]
+        if len(planes) == 1:
+            to[:] = planes[0][:, :, None]
+            continue
+        y, cb, cr = planes[0] * 65536 + 32768, planes[1] - 128, planes[2] - 128
+        for i, channel in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+            to[:, :, i] = np.clip(channel >> 16, 0, 255)
+    return out
 
 
 def payload(image: Image) -> bytes:
