@@ -2,7 +2,7 @@
 
 Each term of a text (a word with the word after it) is hashed to 64 bits and votes with its weight on
 every bit; the fingerprint has the bits on which the set votes outweigh the others. ``near_pairs`` finds all
-fingerprints within a Hamming radius by permuted block tables.
+fingerprints within a Hamming radius by permuted block tables, and ``with_links`` counts them for each document.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import Scratch, salted_join
+
 LEAST = -(1 << 63)
 ROWS_A_BUCKET = 2048
 MOST_BUCKETS = 8192
@@ -110,10 +112,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.groupBy("doc_id", "m").agg(*votes(F.col("term"))).select("doc_id", elected().alias("fingerprint"))
 
 
+#: Rows of a block of a hot key; the list of hot keys is bounded, so it can be broadcast.
+BLOCK, MOST_HOT = 512, 4096
+
+
 def near_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6, col: str = "fingerprint") -> DataFrame:
     """All pairs (a, b) of different fingerprints, a < b, that differ in at most ``radius`` bits, with the
-    distance. The 64 bits are cut into blocks; each choice of ``blocks - radius`` of them is a table keyed
-    by these blocks, and any pair within the radius agrees on at least one table's key."""
+    distance, each once. The 64 bits are cut into blocks; each choice of ``blocks - radius`` of them is a table keyed
+    by these blocks, and any pair within the radius agrees on at least one table's key; it comes from the
+    first such table. The rows of the ``MOST_HOT`` keys that have more than ``BLOCK`` meet in blocks of about that many,
+    so that a hot key's work is spread. Keys are counted by partial aggregation; nulls are left out.
+    """
     if not 0 < radius < blocks:
         raise ValueError("the radius is above 0 and below the number of blocks")
     prints = prints.select(F.col(col).cast("long").alias("f")).where("f is not null").distinct()
@@ -122,6 +131,36 @@ def near_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6, col: str = "
     tables = [sum(c) for c in combinations(masks, blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keyed = prints.select("f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
-    a, b = keyed.select("table", "key", F.col("f").alias("a")), keyed.select("table", "key", F.col("f").alias("b"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, ["table", "key"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    keyed = keyed.select("f", "table", F.xxhash64("table", "key").alias("place"))
+    counts = keyed.groupBy("place").count().where(F.col("count") > BLOCK).orderBy(F.desc("count"), "place").limit(MOST_HOT)
+    hot = [(r[0], -(-r[1] // BLOCK)) for r in counts.collect()]
+
+    def near(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        a, b = a.withColumnRenamed("f", "a"), b.withColumnRenamed("f", "b").drop("table")
+        differ = F.col("a").bitwiseXOR(F.col("b"))
+        agreed = F.filter(F.array(*map(F.lit, signed)), lambda m, i: (i <= F.col("table")) & (m.bitwiseAND(differ) == 0))
+        pairs = a.join(b, on).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius))
+        own = F.element_at(F.array(*map(F.lit, signed)), F.col("table") + 1).bitwiseAND(differ) == 0
+        return pairs.where(own & (F.size(agreed) == 1)).select("a", "b", F.bit_count(differ).alias("distance"))
+
+    if not hot:
+        return near(keyed, keyed, ["place"])
+    parts = F.broadcast(prints.sparkSession.createDataFrame(hot, "place bigint, parts bigint"))
+    rows = keyed.join(parts, "place", "left").withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")))
+    cold, warm = rows.where("parts is null").select("f", "table", "place"), rows.where("parts is not null")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    a = warm.select("f", "table", "place", F.col("part").alias("s"), each.alias("t"))
+    b = warm.select("f", "table", "place", each.alias("s"), F.col("part").alias("t"))
+    return near(cold, cold, ["place"]).unionByName(near(a, b, ["place", "s", "t"]))
+
+
+def with_links(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """``rows`` of ``edited`` and near_links: how many other fingerprints of the table are within the radius. Written
+    once, as it is read three times."""
+    rows = Scratch(rows.sparkSession).put(rows)
+    signed = F.conv("fingerprint", 16, -10).cast("long")
+    pairs = near_pairs(rows.select(signed.alias("fingerprint")), radius)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).groupBy("f").agg(F.count("*").alias("near_links"))
+    links = ends.select(F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "near_links")
+    out = salted_join(rows, "fingerprint", "doc_id", links, "left")
+    return out.select(*rows.columns, F.coalesce("near_links", F.lit(0)).alias("near_links"))

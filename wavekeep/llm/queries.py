@@ -37,7 +37,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store(documents(spark, sf_dir))
+    return media.store(documents(spark, sf_dir), keep_tensor=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited(documents(spark, sf_dir))
+    return fingerprints.with_links(fingerprints.edited(documents(spark, sf_dir)))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
