@@ -126,6 +126,25 @@ def test_pii_many_matches_and_redaction(spark):
     assert [c["text"] for c in clean] == ["x <email> y", None]
 
 
+def test_pii_method_spans_and_context(spark):
+    texts = {
+        0: "ssn 123-45-6789 here",
+        1: "123-45-6789 is the social security number",
+        2: "number 123-45-6789 here",
+        3: "ssn 000-12-3456 and 666-12-3456",
+        4: "a0:b1:c2:d3:e4:f5",
+        5: "the example a0:b1:c2:d3:e4:f5",
+        6: "AKIA" + "A1B2" * 4 + " ghp_" + "a" * 36,
+        7: "mail a@b.cd for example",
+    }
+    got = {r["doc_id"]: r for r in rows(pii.spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))}
+    kinds = {d: [(s["kind"], round(s["score"], 2)) for s in r["spans"]] for d, r in got.items()}
+    assert kinds == {0: [("ssn", 0.7)], 1: [("ssn", 0.7)], 2: [], 3: [], 4: [("mac", 0.7)], 5: [], 6: [("secret", 0.9), ("secret", 0.9)], 7: [("email", 0.9)]}
+    assert all(texts[d][s["start"] : s["end"]] == s["value"] for d, r in got.items() for s in r["spans"])
+    risk = {r["doc_id"]: r["risk"] for r in rows(pii.digest(pii.spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))))}
+    assert risk[2] == 0.0 and risk[6] == pytest.approx(0.9)
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 
@@ -154,6 +173,57 @@ def test_packing_round_trip(docs, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_packing_tiers_and_groups():
+    from array import array
+
+    rng = random.Random(4)
+    packer, made = packing.Packer((1024, 512, 256, 128), 0), []
+    sizes = [rng.choice([rng.randint(1, 120), rng.randint(100, 1000), rng.randint(1000, 5000)]) for _ in range(900)]
+    for doc, n in enumerate(sizes):
+        made += packer.add(doc, array("I", [1] * n), n)
+    streamed = len(made)
+    made += packer.finish()
+    assert sum(r[2] for r in made) == sum(sizes)
+    sequences = collections.defaultdict(list)
+    for r in made:
+        sequences[r[5]].append(r)
+    for rows_ in sequences.values():
+        length = rows_[0][7]
+        assert length & (length - 1) == 0 and sum(r[2] for r in rows_) == length  # no padding at all
+    lengths = collections.Counter(x[0][7] for x in sequences.values())
+    assert set(lengths) >= {1024, 512, 128} and streamed > 0.8 * len(made)
+    cut = sum(n - 1 for n in collections.Counter(r[0] for r in made).values()) - sum(n // 1024 for n in sizes)
+    assert cut < 0.7 * len(sizes)  # most rests stay whole
+    filled = collections.Counter()
+    for x in sequences.values():
+        filled[x[0][8]] += x[0][7]
+    for first in range(0, max(filled) + 1, packing.GROUPS):
+        side = [filled[g] for g in range(first, first + packing.GROUPS)]
+        assert max(side) - min(side) <= 1024 and max(side) <= packing.GROUP_TOKENS
+        assert min(side) > packing.GROUP_TOKENS - 2048 or first + packing.GROUPS > max(filled)
+
+
+def test_packing_checks_the_tokenizer(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path()) as f:
+        said = json.load(f)
+    assert packing.is_plain(said)
+    texts = ["it's  a test\n\n 123 ünï 😀", "", "  x", "<|endoftext|> b", "a\u00a0b\u3000c"]
+    for name, change in {"prefix": {"pre_tokenizer": said["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}, "merges": {"model": said["model"] | {"merges": said["model"]["merges"][5:] + said["model"]["merges"][:5]}}}.items():
+        other = said | change
+        assert not packing.is_plain(other)
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w") as f:
+            json.dump(other, f)
+        tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+        assert [encode(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    tok, encode = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    assert [encode(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_language_model(docs, none, spark):
     rng = random.Random(3)
     a = ["".join(rng.choice(["the ", "and ", "of ", "ing ", "th"]) for _ in range(40)) for _ in range(80)]
@@ -171,36 +241,56 @@ def test_language_model(docs, none, spark):
     assert langid.predict(none, langid.fit(none)).count() == 0
 
 
-def test_language_code_lengths_are_exact():
-    texts = {"x": ["abab abba", "bbbb"], "y": ["ba ba", "aaaa"]}
+def test_language_code_lengths_are_exact(monkeypatch):
+    texts = {"x": ["abab Abba", "bbbb 1"], "y": ["ba ba", "aaßaa"]}
     m = langid.train(texts)
-    data = np.frombuffer(b"abba zz", np.uint8)
-    got = langid.code_lengths(m, data, np.array([0]), np.array([7]))[0]
+    said = ["abba zz", "ß 1b", "", "ABAB"]
+    data = "".join(said).encode()
+    ends = np.cumsum([len(x.encode()) for x in said])
+    starts = ends - [len(x.encode()) for x in said]
+    got = langid.code_lengths(m, np.frombuffer(data, np.uint8), starts, ends)
     # the model read off the definition: escape through ever shorter contexts
-    for lang, bits in zip(m.langs, got, strict=True):
+    for i, lang in enumerate(m.langs):
         counts = collections.Counter()
         for t in texts[lang]:
-            s = [0] * 3 + [int(m.fold[c]) for c in t.encode()]
-            for i in range(3, len(s)):
+            s = b"   " + t.encode().lower()
+            for at in range(3, len(s)):
                 for o in range(4):
-                    counts[tuple(s[i - o : i + 1])] += 1
-        s, want = [0] * 3 + [int(m.fold[c]) for c in b"abba zz"], 0.0
+                    counts[s[at - o : at + 1]] += 1
 
         def p(context, symbol, counts=counts):
             seen = {k[-1]: v for k, v in counts.items() if len(k) == len(context) + 1 and k[:-1] == context}
-            shorter = (lambda: p(context[1:], symbol)) if context else (lambda: 1 / langid.SYMBOLS)
+            shorter = (lambda: p(context[1:], symbol)) if context else (lambda: 1 / 256)
             if not seen:
                 return shorter()
             whole = sum(seen.values()) + len(seen)
             return seen[symbol] / whole if symbol in seen else len(seen) / whole * shorter()
 
-        for i in range(3, len(s)):
-            want -= np.log2(p(tuple(s[i - 3 : i]), s[i]))
-        assert bits == pytest.approx(want, rel=1e-4)
-    whole = langid.code_lengths(m, data, np.array([0, 3]), np.array([3, 7]))
-    chunked, langid.CHUNK = langid.CHUNK, 2
-    assert np.allclose(langid.code_lengths(m, data, np.array([0, 3]), np.array([3, 7])), whole)
-    langid.CHUNK = chunked
+        for j, text in enumerate(said):
+            s = b"   " + text.encode().lower()
+            want = -sum(np.log2(p(s[at - 3 : at], s[at])) for at in range(3, len(s)))
+            assert got[j, i] == pytest.approx(want, rel=1e-5)
+    monkeypatch.setattr(langid, "CHUNK", 6)
+    assert np.allclose(langid.code_lengths(m, np.frombuffer(data, np.uint8), starts, ends), got)
+
+
+def test_language_tables_find_all_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 32, 5000))
+    t = langid.Table(keys, np.arange(len(keys), dtype=np.float32)[:, None])
+    assert (t.find(keys) == np.arange(len(keys))).all()
+    others = np.setdiff1d(rng.integers(0, 1 << 32, 5000), keys)
+    assert (t.find(others) == -1).all() and (t.rows[-1] == 0).all()
+
+
+def test_languages_of_long_and_copied_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 200)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 5)
+    data = [(i, "und das ist ein langer Satz mit vielen Wörtern " * 50 + str(i % 3), "de", "s") for i in range(40)]
+    data += [(i, "the one text that is copied again and again", "en", "s") for i in range(40, 90)]
+    df = spark.createDataFrame(data + [(100, "²½Ⅷ 12", None, "s"), (101, "ein Satz", None, "s"), (102, "again and", None, "s")], COLUMNS)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, langid.fit(df)).collect()}
+    assert (got[100], got[101], got[102], got[0], got[50]) == ("und", "de", "en", "de", "en")
 
 
 def test_sharding(docs, none, spark):
@@ -216,9 +306,48 @@ def test_sharding(docs, none, spark):
     assert sorted(n) == list(range(24)) and all(650 < x < 1020 for x in n.values())
     assert 600 < sum(r["grown_shard"] == 24 for r in many) < 1000
     assert sharding.shard(none).count() == 0
+    with pytest.raises(ValueError):
+        sharding.tree(5, base=6)
     assert "_shard" in sharding.with_shard(docs).columns
 
 
+def test_sharding_grows_at_any_count(spark):
+    ids = spark.range(1500)
+    for n in (1, 2, 5, 10, 23, 24, 30):
+        base = min(n, 24)
+        places = [sharding.assign(F.col("id"), sharding.tree(k, base)).alias(f"s{k}") for k in (n, n + 1, n + 2)]
+        got = ids.select("id", *places).collect()
+        assert {r[1] for r in got} == set(range(n))
+        for r in got:
+            assert r[2] in (r[1], n) and r[3] in (r[2], n + 1)
+    rows_ = rows(sharding.shard(spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), 10))
+    assert all(r["grown_shard"] in (r["shard"], 10) for r in rows_)
+
+
+def test_sharding_draws_are_those_of_the_definition(spark):
+    import math
+
+    xxhash = pytest.importorskip("xxhash")
+    of = sharding.tree(24)
+    got = spark.range(40).select("id", sharding.assign(F.col("id"), of).alias("shard")).collect()
+
+    def weight(x):
+        return sum(map(weight, x.values())) if isinstance(x, dict) else x
+
+    for r in got:
+        node, path = of, ""
+        while isinstance(node, dict):
+            best = None
+            for k, v in node.items():
+                child = f"{path}/{k}"
+                h = xxhash.xxh64_intdigest(str(r["id"]).encode(), 42)  # Spark chains columns by seed
+                h = xxhash.xxh64_intdigest(child.encode(), h)
+                draw = (-math.log(((h >> 11) + 0.5) / (1 << 53)) / weight(v), child, v)
+                best = draw if best is None or draw[:2] < best[:2] else best
+            path, node = best[1], best[2]
+        assert r["shard"] == int(path.rsplit("/", 1)[1])
+
+
 def test_sharding_weights_move_only_into_the_heavier_subtree(spark):
     light = {"a": {"r": {0: 1.0, 1: 1.0}}, "b": {"r": {2: 1.0, 3: 1.0}}}
     heavy = {"a": {"r": {0: 1.0, 1: 1.0}}, "b": {"r": {2: 1.0, 3: 3.0}}}
@@ -483,6 +612,37 @@ def test_fingerprints(docs, none, spark):
     assert one["edited_sha256"] == hashlib.sha256(b"aba").hexdigest() and one["near_next"] == 1.0
 
 
+def test_fingerprints_against_brute_force(docs):
+    xxhash = pytest.importorskip("xxhash")
+
+    def fingerprint(t):
+        w = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]+(?=[^ \t\n\x0b\f\r])|[^ \t\n\x0b\f\r]+", t)
+        terms = [a + re.match(r"[^ \t\n\x0b\f\r]+", b).group() for a, b in zip(w, w[1:], strict=False)] or [t.strip(" ")]
+        whole, votes = 0, [0] * 64
+        for term in terms:
+            h, weight = xxhash.xxh64_intdigest(term.encode(), 42), min(len(term), 16) + 1
+            whole += weight
+            for i in range(64):
+                votes[i] += weight * (h >> i & 1)
+        return f"{sum(1 << i for i in range(64) if 2 * votes[i] > whole):016x}"
+
+    got = {(r["doc_id"], r["n_chars"]): r for r in rows(fingerprints.edited(docs))}
+    for doc, text, *_ in AWKWARD:
+        assert got[doc, len(text or "")]["fingerprint"] == fingerprint(text or ""), doc
+
+
+def test_fingerprint_links(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    rng = random.Random(16)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = [b ^ sum(1 << x for x in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 5)] + [base[0] ^ (1 << i) for i in range(20)] + base[:5]
+    df = spark.createDataFrame([(i, f"{p:016x}", "x") for i, p in enumerate(prints)], "doc_id bigint, fingerprint string, other string")
+    got = rows(fingerprints.with_links(df))
+    want = {p: sum(0 < bin(p ^ q).count("1") <= 3 for q in set(prints)) for p in set(prints)}
+    assert len(got) == len(prints) and max(want.values()) > 15
+    assert all(r["near_links"] == want[prints[r["doc_id"]]] for r in got)
+
+
 def test_fingerprints_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 7)
     rng = random.Random(8)
