@@ -29,8 +29,13 @@ class KeySpec:
         return F.collate(F.col(column), self.collation) if self.collation else F.col(column)
 
     def bucket(self, column: str, buckets: int) -> Column:
-        """0 to ``buckets`` - 1, equal for all keys of a group."""
-        same = F.expr(f"collation_key(collate(`{column}`, '{self.collation}'))") if self.collation and not self.group else self.of(column)
+        """0 to ``buckets`` - 1, equal for all keys of a group. Hashes don't know collations: keys under one that is more
+        than a matter of case are in one bucket (of several files, if large)."""
+        same = self.of(column)
+        if self.collation and not self.group:
+            if self.collation.upper() != "UTF8_LCASE":
+                return F.lit(0)
+            same = F.collate(F.lower(F.col(column)), "UTF8_BINARY")
         return F.pmod(F.xxhash64(same), F.lit(buckets)).cast("int")
 
     def sort(self, column: str) -> list[Column]:
