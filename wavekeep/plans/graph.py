@@ -263,7 +263,7 @@ class Graph:
                 produced, top = preserve(produced, empty(self.spark, self._schema(stage, "content")), stage.preserved, target, source, top, scratch)
                 produced = scratch.put(produced)
             (content, rows), (mappings, pairs) = self._together(lambda: write("content", produced, target, "target_key"), lambda: write("key_mappings", produced.select(*r.MAPPING), source, "source_key"))
-            touched, keys, past = None, None, None
+            touched, past = None, None
         else:
             from_buckets = self._buckets(changed, source, "key", n)
             lineage = self._read(stage, "key_mappings", before, from_buckets)
@@ -278,7 +278,8 @@ class Graph:
                 lambda: write("key_mappings", r.next_mappings(lineage, changed, produced, source), source, "source_key"),
                 lambda: scratch.put(r.with_past(keys, past, changed, source, target)),
             )
-            if not touched.where("torn").isEmpty():
+            n_touched, torn = touched.agg(F.count("*"), F.max(F.col("torn").cast("int"))).first()
+            if torn:
                 raise WaveError(f"content and lineage of {stage.name} disagree: the version that the wave starts from is damaged")
             content = {b: w for b, w in before["content"].items() if int(b) not in to_buckets} | content
             mappings = {b: w for b, w in before["key_mappings"].items() if int(b) not in from_buckets} | mappings
@@ -289,8 +290,8 @@ class Graph:
             now = self._read(stage, "content", held, None if touched is None else to_buckets)
             feed = r.change_feed(touched, now, target, past if stage.suppress_unchanged else None)
             held["updates"], count["updates"] = self.store.write(stage.name, "updates", wave, feed, None, [])
-        if keys is not None:
-            count["touched"] = touched.count()
+        if touched is not None:
+            count["touched"] = n_touched
         return held, count
 
     def _produced(self, stage: Stage, changes: DataFrame, scratch: Scratch) -> DataFrame:
