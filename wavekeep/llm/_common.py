@@ -110,7 +110,7 @@ def alike(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     counts broadcast (a bounded list); the others, which are rare, meet in one shuffle. Rows of an element meet in
     blocks of ``BLOCK`` by ``BLOCK``, so that no task gets all rows of a frequent one; nodes of one root are linked already.
     """
-    t = similarity
+    t, inner = similarity, Scratch(scratch.spark)
     rows = sets.select("node", "root", "n", F.posexplode("lead").alias("i", "element"), (F.size("lead") - F.col("common")).alias("rare"))
     every = Window.partitionBy("element")
     seldom = rows.where("i < rare").drop("rare").withColumn("rows", F.count("*").over(every)).withColumn("mixed", F.min("root").over(every) < F.max("root").over(every))
@@ -118,7 +118,7 @@ def alike(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     counts = frequent.groupBy("element").agg(F.count("*").alias("rows"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
     rows = seldom.where("mixed").unionByName(frequent.join(F.broadcast(counts), "element"))  # at most MOST_OFTEN rows
     rows = rows.withColumn("blocks", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}"))
-    rows = scratch.put(rows.select("node", "root", "n", "i", "element", "blocks", F.expr("pmod(xxhash64(element, node), blocks)").alias("block")))
+    rows = inner.put(rows.select("node", "root", "n", "i", "element", "blocks", F.expr("pmod(xxhash64(element, node), blocks)").alias("block")))
     each = F.explode(F.expr("sequence(0L, blocks - 1)"))
     x = rows.select("element", F.col("block").alias("s"), each.alias("t"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     y = rows.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - _EDGE))
@@ -128,35 +128,37 @@ def alike(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     # all shared up to the last shared place are counted
     pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
     pairs = pairs.where(f"(c + least(nx - ix, ny - iy) - 1) {enough}")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    out = scratch.put(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    inner.drop()
+    return out
 
 
 #: Elements of the sets that meet in one block of verification, unless one set alone has more.
-BLOCK_ELEMENTS = 1 << 18
+BLOCK_ELEMENTS = 1 << 15
 _SALTS = 64
 
 
 def verified(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame], elements: Callable[[bytes], np.ndarray], similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity, each compared exactly.
+    """Of the written pairs (a, b) of nodes those whose sets have at least this Jaccard similarity, each compared exactly.
 
     sizes: (node, n) of all nodes. sets: gives (node, held) of the nodes in a column id, of which ``elements`` makes the
     sorted distinct longs of a set. A set is not sent along with each of its pairs: nodes are dealt into blocks of nodes that meet
     each other (those with the same least partner, split by size), and a set is sent once to each pair of blocks in
     which its node has a pair. There the sets of a block are held while its pairs are read.
     """
-    pairs = scratch.put(pairs)
     if pairs.isEmpty():
         return pairs
+    inner = Scratch(scratch.spark)
     both = F.explode(F.array(F.struct(F.col("a").alias("node"), "a"), F.struct(F.col("b").alias("node"), "a"))).alias("e")
     lab = pairs.select(both).groupBy("e.node").agg(F.min("e.a").alias("label")).join(sizes, "node")
-    lab = scratch.put(lab.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")))
+    lab = inner.put(lab.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")))
     large = lab.groupBy("label").agg(F.sum("n").alias("total")).where(f"total > {BLOCK_ELEMENTS}").select("label", F.expr(f"(total + {BLOCK_ELEMENTS - 1}) div {BLOCK_ELEMENTS}").alias("parts"))
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     part = F.coalesce(F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")), F.lit(0))
-    blocks = scratch.put(lab.join(large, ["label", "salt"], "left").select("node", F.xxhash64("label", part).alias("block")))
+    blocks = inner.put(lab.join(large, ["label", "salt"], "left").select("node", F.xxhash64("label", part).alias("block")))
     met = salted_join(pairs, "a", "b", blocks.select(F.col("node").alias("a"), F.col("block").alias("p")))
     met = salted_join(met, "b", "a", blocks.select(F.col("node").alias("b"), F.col("block").alias("q")), counted=pairs)
-    met = scratch.put(met.select("a", "b", F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("at")))
+    met = inner.put(met.select("a", "b", F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("at")))
     member = met.select("at", F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = member.join(sets(blocks.select(F.col("node").alias("id"))), "node").select("at", F.lit(None).cast("bigint").alias("a"), F.col("node").alias("b"), "held")
     rows = rows.unionByName(met.select("at", "a", "b", F.lit(None).cast("binary").alias("held")))
@@ -183,7 +185,9 @@ def verified(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], Dat
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    out = scratch.put(rows.mapInArrow(run, "a bigint, b bigint"))
+    inner.drop()
+    return out
 
 
 #: Bits of a filter of ids: 32 MB at most.

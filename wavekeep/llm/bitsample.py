@@ -87,41 +87,39 @@ def frequent_runs(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     return often(some, lambda x: features(x)[1].view(np.int64))
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
-    """(id, key, node, runs, tables, fine, lead, common) a row: key is a digest of the text, node the digest's first 64
-    bits, runs how many distinct runs it has, tables a long of sampled coordinates for each table, fine eight
+def sketch(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
+    """(node, runs, tables, fine, lead, common) a row with words: node is the first 64 bits of the text's digest, runs how
+    many distinct runs it has, tables a long of sampled coordinates for each table, fine eight
     longs, lead its leading runs, common how many of these are in ``common``."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # MOST_OFTEN rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse_signs, fine_signs, at = _signs(COARSE, 1), _signs(FINE, 2), sampled()
         weights = 1 << np.arange(SAMPLED - 1, -1, -1, dtype=np.int64)
-        for b in pieces(batches, 1):
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo in range(0, len(ids), 200):
-                part = texts[lo : lo + 200]
-                found = [features(x) for x in part]
+        for b in pieces(batches, 0):
+            texts = {short(_md5(x)): x for x in b.column(0).to_pylist()}  # copies in a piece are sketched once
+            names = list(texts)
+            for lo in range(0, len(names), 200):
+                part = names[lo : lo + 200]
+                found = [features(texts[x]) for x in part]
                 # whole numbers below 2^24: the sums are exact, so equal texts have equal prints
                 coarse = np.stack([_counts(w) for w, _ in found]) @ coarse_signs > 0
                 fine = np.stack([_counts(r) for _, r in found]) @ fine_signs > 0
                 tables = coarse[:, at] @ weights
-                keys = [_md5(x) for x in part]
                 leads = [leading(r.view(np.int64), shared.value, SIMILARITY) for _, r in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, len(part)),
-                        pa.array([k.hex() for k in keys]),
-                        pa.array([short(k) for k in keys], pa.int64()),
+                        pa.array(part, pa.int64()),
                         pa.array([len(r) for _, r in found], pa.int64()),
                         pa.array(list(tables), pa.list_(pa.int64())),
                         pa.array(list(np.packbits(fine, axis=1).view(np.int64)), pa.list_(pa.int64())),
                         pa.array([x for x, _ in leads], pa.list_(pa.int64())),
                         pa.array([c for _, c in leads], pa.int32()),
                     ],
-                    names=["id", "key", "node", "runs", "tables", "fine", "lead", "common"],
+                    names=["node", "runs", "tables", "fine", "lead", "common"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id bigint, key string, node bigint, runs bigint, tables array<bigint>, fine array<bigint>, lead array<bigint>, common int")
+    return docs.select(text_col).mapInArrow(run, "node bigint, runs bigint, tables array<bigint>, fine array<bigint>, lead array<bigint>, common int").where("runs > 0")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -133,8 +131,8 @@ def estimate(a: str, b: str) -> Column:
     return shared / (n + m - shared)
 
 
-def _runs_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
-    """(node, held) of the texts whose nodes are in column id, and of a few others: the bytes of their sorted runs."""
+def _texts_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
+    """(node, held) of the texts whose nodes are in column id, and of a few others: the compressed text."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +140,14 @@ def _runs_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
             texts = {short(_md5(x)): x for x in b.column(0).to_pylist()}
             nodes = np.array(list(texts), np.int64)
             some = [int(x) for x in nodes[passes(shared.value, nodes)]]
-            runs = [np.sort(features(texts[x])[1].view(np.int64)).tobytes() for x in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(runs, pa.binary())], names=["node", "held"])
+            held = [zlib.compress((texts[x] or "").encode("utf-8", "surrogatepass"), 1) for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held, pa.binary())], names=["node", "held"])
 
     return docs.select(text_col).mapInArrow(run, "node bigint, held binary").groupBy("node").agg(F.first("held").alias("held"))
 
 
-def _longs(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, np.int64)
+def _runs(held: bytes) -> np.ndarray:
+    return np.sort(features(zlib.decompress(held).decode("utf-8", "surrogatepass"))[1].view(np.int64))
 
 
 def bits_used(texts: int) -> int:
@@ -219,15 +217,15 @@ def _links(docs: DataFrame, texts: DataFrame, n: int, text_col: str, scratch: Sc
     sizes = texts.select("node", F.col("runs").alias("n"))
 
     def sets(ids: DataFrame) -> DataFrame:
-        return _runs_of(docs, text_col, ids)
+        return _texts_of(docs, text_col, ids)
 
     pairs = _sampled_pairs(texts, n)
     for x in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("runs").alias(f"{x}_runs"), F.col("fine").alias(f"{x}_fine")), x)
-    pairs = pairs.where(estimate("a", "b") >= SIMILARITY - SLACK).select("a", "b")
-    roots = scratch.put(components(verified(pairs, sizes, sets, _longs, SIMILARITY, scratch), scratch))
+    pairs = scratch.put(pairs.where(estimate("a", "b") >= SIMILARITY - SLACK).select("a", "b"))
+    roots = scratch.put(components(verified(pairs, sizes, sets, _runs, SIMILARITY, scratch), scratch))
     rows = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("runs").alias("n"), "lead", "common")
-    rest = scratch.put(verified(alike(rows, SIMILARITY, scratch), sizes, sets, _longs, SIMILARITY, scratch))
+    rest = verified(alike(rows, SIMILARITY, scratch), sizes, sets, _runs, SIMILARITY, scratch)
     return joined_roots(roots, rest, scratch)
 
 
@@ -241,10 +239,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)  # what the result reads stays
     common = frequent_runs(docs, text_col, docs.count())
-    sketches = scratch.put(sketch(docs, id_col, text_col, common))
-    rows = kept.put(sketches.select("id", "key", "node"))
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"))
+    rows = kept.put(rows.withColumn("node", F.conv(F.substring("key", 1, 16), 16, -10).cast("long")))
     columns = ("runs", "tables", "fine", "lead", "common")
-    texts = scratch.put(sketches.where("runs > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
+    texts = scratch.put(sketch(docs, text_col, common).groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
     roots = kept.put(_links(docs, texts, texts.count(), text_col, scratch))
     scratch.drop()
     heads = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("least"), F.count("*").alias("rows"))
