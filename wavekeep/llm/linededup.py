@@ -9,15 +9,15 @@ linked by then meet again if they share one of their rarest shingles, which leav
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, short, verified
+from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, verified
 
 SHINGLE = 8
 LEAST_SHINGLES = 4  # below, two different lines can't reach the similarity
@@ -35,8 +35,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def name(line: bytes) -> int:
-    """A line's name in joins: the first 64 bits of its digest."""
-    return short(hashlib.md5(line).digest())
+    """A line's name in joins: the hash that Spark's xxhash64 gives."""
+    h = xxhash.xxh64_intdigest(line, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def windows(data: np.ndarray) -> np.ndarray:
@@ -165,11 +166,10 @@ def near_rows(buckets: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a <= b, of lines: the rows of all bands, sorted over the cluster (in a bucket by a
-    hash that differs from bucket to bucket, so that each of a line's buckets offers other partners)."""
+    """Candidate pairs (a, b), a <= b, of lines: the rows of all bands, sorted over the cluster and cut into buckets run by
+    run."""
     rows = sketches.select("line", F.posexplode("bands").alias("band", "key")).select("line", F.xxhash64("band", "key").alias("bucket"))
-    rows = rows.withColumn("order", F.xxhash64("bucket", "line"))
-    rows = rows.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "line").select("bucket", "line")
+    rows = rows.repartitionByRange("bucket", "line").sortWithinPartitions("bucket", "line").select("bucket", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -260,17 +260,18 @@ def roots(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     rows = sets.join(out, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "lead", "common")
     held = some.select(F.col("line").alias("node"), F.col("text").alias("held"))
     rest = verified(alike(rows, SIMILARITY, scratch), sets.select("node", "n"), lambda ids: held.join(ids, held["node"] == ids["id"], "left_semi"), _shingles, SIMILARITY, scratch)
-    return joined_roots(out, scratch.put(rest), scratch)
+    return joined_roots(out, rest, scratch)
 
 
 def kept_lines(docs: DataFrame, id_col: str, text_col: str, links: DataFrame) -> DataFrame:
     """(d, m, at): for each document (id and hash of its text) the places of the lines that it keeps. links: ``roots``."""
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("m"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
-    rows = rows.where(F.length(F.trim(F.translate("line", BLANK, " " * len(BLANK)))) > 0).select("d", "m", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("k"))
-    firsts = rows.groupBy("k").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "m", "at")).alias("first"))
-    named = firsts.withColumn("node", F.conv(F.substring(F.hex("k"), 1, 16), 16, -10).cast("long"))
-    firsts = named.join(links, "node", "left").select(F.coalesce(F.concat(F.lit("root "), F.col("root").cast("string")).cast("binary"), "k").alias("k"), "first")
-    firsts = firsts.groupBy("k").agg(F.min("first").alias("first"))
+    line = F.col("line")
+    # two hashes tell lines apart; the first is their name
+    rows = rows.where(F.length(F.btrim(line, F.lit(BLANK))) > 0).select("d", "m", "at", F.xxhash64(line).alias("node"), F.xxhash64(F.lit(1), line).alias("k"))
+    firsts = rows.groupBy("node", "k").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "m", "at")).alias("first"))
+    firsts = firsts.join(links, "node", "left").select(F.coalesce("root", "node").alias("node"), F.when(F.col("root").isNull(), F.col("k")).alias("k"), "first")
+    firsts = firsts.groupBy("node", "k").agg(F.min("first").alias("first"))
     return firsts.groupBy("first.d", "first.m").agg(F.collect_list("first.at").alias("at"))
 
 
