@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavekeep.llm import bitsample, fingerprints, langid, licenses, linededup, media, mixing, packing, pii, sharding
+from wavekeep.llm import _common, bitsample, fingerprints, langid, licenses, linededup, media, mixing, packing, pii, sharding
 from wavekeep.llm._common import Scratch, components
 from wavekeep.llm.queries import tokenizer_path
 
@@ -844,3 +844,22 @@ def test_near_duplicates_with_long_boilerplate(spark, monkeypatch):
     got = _classes(spark, texts)
     assert _same_runs(texts[0], texts[1]) >= 0.8 > max(_same_runs(texts[0], x) for x in texts[2:])
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_frequent_runs_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(bitsample, "SAMPLE", 10)  # as if the table were 160 times the sample
+    rng = random.Random(24)
+    shared = [prose(30, rng) for _ in range(16)]
+    docs = spark.createDataFrame([(prose(40, rng) + " " + shared[i % 16],) for i in range(1600)], "text string")
+    runs = {int(x) for s in shared for x in bitsample.features(s)[1].view(np.int64)}
+    element, count = bitsample.frequent_runs(docs, "text", 1600)
+    assert len(runs & set(element.tolist())) > len(runs) / 2 and set(element.tolist()) <= runs
+    assert (np.diff(element) > 0).all() and count.min() > 2
+    assert bitsample.frequent_runs(docs.limit(0), "text", 0).shape == (2, 0)
+
+
+def test_list_of_frequent_elements_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(_common, "MOST_OFTEN", 5)
+    docs = spark.createDataFrame([(f"{i} " + " ".join(str(1000 + k) for k in range(8) if i < 3 + k),) for i in range(20)], "text string")
+    element, count = _common.often(docs, lambda x: np.array(x.split(), np.int64))
+    assert element.tolist() == [1003, 1004, 1005, 1006, 1007] and count.tolist() == [6, 7, 8, 9, 10]

@@ -66,16 +66,24 @@ def salted_join(rows: DataFrame, key: str, by: str, unique: DataFrame, how: str
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-#: Elements oftenest in a sample of sets, which come last in the order of a set: at most 1 MB.
-MOST_OFTEN = 1 << 16
+#: Elements oftenest in a sample of sets, which come last in the order of a set: at most 16 MB.
+MOST_OFTEN = 1 << 20
 #: Rows of an element that meet in one block.
 BLOCK = 1024
 _EDGE = 1e-6  # a bound on a size is missed by no rounding
 
 
+def sample(rows: DataFrame, by: str, n: int, least: int, share: float) -> DataFrame:
+    """About ``least`` of ``n`` rows, but never less than this share of them, by a hash of column ``by``. As the share has a
+    floor, an element that a sample shows less than three times is in a bounded number of rows on the whole, however
+    large the table."""
+    part = max(least / max(1, n), share)
+    return rows.where(F.shiftrightunsigned(F.xxhash64(by), 1) <= min(int(part * (1 << 63)), (1 << 63) - 1))
+
+
 def often(texts: DataFrame, elements: Callable[[object], np.ndarray]) -> np.ndarray:
-    """The elements that occur oftenest in a sample of texts (one column), and their counts: two rows of longs, by
-    element. Only the cost of ``alike`` depends on them."""
+    """The elements that occur oftenest in a sample of texts (one column), at least three times, and their counts: two
+    rows of longs, by element. Only the cost of ``alike`` depends on them."""
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 0):
@@ -83,9 +91,20 @@ def often(texts: DataFrame, elements: Callable[[object], np.ndarray]) -> np.ndar
             element, count = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(count)], names=["element", "n"])
 
+    scratch = Scratch(texts.sparkSession)
     found = texts.mapInArrow(every, "element bigint, n bigint")
-    top = found.groupBy("element").agg(F.sum("n").alias("count")).where("count > 2").orderBy(F.desc("count"), "element").limit(MOST_OFTEN).collect()
-    return np.array(sorted((r["element"], r["count"]) for r in top), np.int64).reshape(-1, 2).T
+    found = scratch.put(found.groupBy("element").agg(F.sum("n").alias("count")).where("count > 2"))
+    least, held = 1 << 62, 0
+    for r in found.groupBy("count").agg(F.count("*").alias("rows")).orderBy(F.desc("count")).collect():
+        held += r["rows"]
+        if held > MOST_OFTEN:
+            break
+        least = r["count"]
+    top = found.where(F.col("count") >= least).toArrow()
+    element, count = (top.column(x).to_numpy().astype(np.int64) for x in ("element", "count"))
+    scratch.drop()
+    order = np.argsort(element)
+    return np.stack([element[order], count[order]])
 
 
 def leading(elements: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:

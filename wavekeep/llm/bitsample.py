@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, short, verified
+from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, sample, short, verified
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -32,7 +32,7 @@ SAMPLED = 40
 COARSE, FINE, FEATURES = 256, 512, 4096
 CAP = 8
 RUN = 1 << 19  # rows of a table that are cut into buckets at once
-SAMPLE = 20_000  # texts of which the frequent runs of words are learned
+SAMPLE, SHARE = 20_000, 1 / 16  # texts of which the frequent runs of words are learned, and their least part of all
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,10 +80,8 @@ def _md5(text: str | None) -> bytes:
 
 
 def frequent_runs(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """The runs of words that are frequent in a sample of about ``SAMPLE`` of ``n`` texts, for ``leading``."""
-
-    text = docs.select(F.col(text_col).alias("text"))
-    some = text.where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n))
+    """The runs of words that are frequent in a sample of ``n`` texts, for ``leading``."""
+    some = sample(docs.select(F.col(text_col).alias("text")), "text", n, SAMPLE, SHARE)
     return often(some, lambda x: features(x)[1].view(np.int64))
 
 
