@@ -863,3 +863,26 @@ def test_list_of_frequent_elements_is_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(f"{i} " + " ".join(str(1000 + k) for k in range(8) if i < 3 + k),) for i in range(20)], "text string")
     element, count = _common.often(docs, lambda x: np.array(x.split(), np.int64))
     assert element.tolist() == [1003, 1004, 1005, 1006, 1007] and count.tolist() == [6, 7, 8, 9, 10]
+
+
+def test_frequent_shingles_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SAMPLE", 1)  # as if the table were 400 times the sample
+    found, rng = [], random.Random(25)
+
+    def kept(texts, elements):
+        found.append(_common.often(texts, elements))
+        return found[-1]
+
+    monkeypatch.setattr(linededup, "often", kept)
+
+    def own(n):
+        return bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    shared = [own(30) for _ in range(16)]
+    lines = [own(20) + shared[i % 16] for i in range(400)]
+    texts = spark.createDataFrame([(linededup.name(x), x) for x in lines], "line bigint, text binary")
+    leads = linededup._leads(texts, 400).collect()
+    shingles = {int(x) for s in shared for x in linededup._shingles(s)}
+    listed = set(found[0][0].tolist())
+    assert len(listed & shingles) > len(shingles) / 2 and len(leads) == 400
+    assert all(not listed & set(r["lead"][: len(r["lead"]) - r["common"]]) for r in leads)

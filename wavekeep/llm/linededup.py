@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, verified
+from ._common import Scratch, alike, components, free_name, id_filter, joined_roots, leading, often, passes, pieces, salted_join, sample, verified
 
 SHINGLE = 8
 LEAST_SHINGLES = 4  # below, two different lines can't reach the similarity
@@ -30,7 +30,7 @@ REMEMBERED = 1 << 20
 NEAR = 7  # rows of a band bucket before a line that it meets; a bucket of up to one more has all its pairs
 RUN = 1 << 19  # rows of sorted buckets that are handled at once
 BLANK = " \t\r\x0b\x0c"
-SAMPLE = 20_000  # lines of which the frequent shingles are learned
+SAMPLE, SHARE = 20_000, 1 / 4  # lines of which the frequent shingles are learned, and their least part of all
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,9 +226,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def _leads(texts: DataFrame, n: int) -> DataFrame:
     """(node, n, lead, common) of lines (line, text): their shingles for ``alike``. n: how many lines there are."""
-
-    some = texts.where(F.shiftrightunsigned(F.xxhash64("line"), 1) <= ((1 << 63) - 1) * min(SAMPLE, max(1, n)) // max(1, n))
-    shared = texts.sparkSession.sparkContext.broadcast(often(some.select("text"), _shingles))
+    shared = texts.sparkSession.sparkContext.broadcast(often(sample(texts, "line", n, SAMPLE, SHARE).select("text"), _shingles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
