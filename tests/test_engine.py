@@ -3,6 +3,7 @@
 import importlib
 import random
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -16,7 +17,7 @@ from wavekeep.operators.preserve import Preserve
 from wavekeep.operators.produce import native
 from wavekeep.plans.graph import Graph
 from wavekeep.sources.schema import WaveError
-from wavekeep.sources.store import ParquetStore
+from wavekeep.sources.store import ParquetStore, Scratch
 from wavekeep.streaming.waves import stream_graph
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -465,3 +466,21 @@ def test_sync_outside_table(spark, tmp_path):
     put = lambda kind: lambda rows: [(tmp_path / f"{kind}{r.key}").touch() for r in rows]
     feed.sync(changes, put("new"), put("gone"))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["gone3", "new1"]
+
+
+def test_dropped_tables_release_shuffle_files(spark):
+    jvm = spark.sparkContext._jvm
+
+    def files():
+        found = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)}
+
+    scratch, had = Scratch(spark), files()
+    scratch.put(spark.range(1000).repartition(3, "id"))
+    new = files() - had
+    assert new
+    scratch.drop()
+    end = time.time() + 30
+    while files() & new and time.time() < end:
+        time.sleep(0.5)
+    assert not files() & new

@@ -44,7 +44,8 @@ def file_at(spark: SparkSession, path: str):
 
 
 class Scratch:
-    """Tables of one piece of work in the shared folder, deleted together when it is done."""
+    """Tables of one piece of work in the shared folder, deleted together when it is done. Spark deletes the shuffle
+    files of a finished query only after the driver's JVM has collected its plan, so ``drop`` asks for that too."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.numbers = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", count()
@@ -57,6 +58,7 @@ class Scratch:
     def drop(self) -> None:
         fs, p = file_at(self.spark, self.root)
         fs.delete(p, True)
+        self.spark._jvm.System.gc()
 
 
 def _count(seen: Observation, written: DataFrame, path: str) -> int:
