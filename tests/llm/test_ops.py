@@ -886,3 +886,47 @@ def test_frequent_shingles_of_a_large_table(spark, monkeypatch):
     listed = set(found[0][0].tolist())
     assert len(listed & shingles) > len(shingles) / 2 and len(leads) == 400
     assert all(not listed & set(r["lead"][: len(r["lead"]) - r["common"]]) for r in leads)
+
+
+def test_rows_of_bands_travel_in_blocks(spark, monkeypatch):
+    for x, n in (("PART", 1 << 9), ("SPLIT", 1 << 8), ("FLUSH", 300)):
+        monkeypatch.setattr(linededup, x, n)
+    rng = random.Random(26)
+    shared = prose(40, rng)
+    lines = [f"{shared} {i} {rng.choice(VOCAB)}" for i in range(900)]  # share many buckets
+    for _ in range(150):
+        a = prose(20, rng)
+        lines += [a, near(a, 1, rng), a]
+    names = {linededup.name(x.encode()): x for x in lines}
+    buckets = collections.defaultdict(set)
+    for n, x in names.items():
+        for band, key in enumerate(linededup.bands([x.encode()])[0].tolist()):
+            buckets[band, key].add(n)
+    docs = spark.createDataFrame([("\n".join(lines[i : i + 3]),) for i in range(0, len(lines), 3)], "text string").repartition(4)
+    sketches = linededup._sketches(docs, "text").cache()
+    assert 4 <= sketches.count() <= 16 and sketches.agg(F.sum("n")).first()[0] >= len(names)  # not a row for each line
+    got = {(r["a"], r["b"]) for r in linededup._banded(sketches).collect()}
+    sketches.unpersist()
+    shares = {(a, b) for x in buckets.values() for a in x for b in x if a <= b}
+    large = [x for x in buckets.values() if len(x) > 8]
+    assert got <= shares and max(map(len, large)) > 500
+    assert {(a, b) for x in buckets.values() if len(x) <= 8 for a in x for b in x if a < b} <= got
+    assert {(a, a) for x in large for a in x} <= got  # those go on to ``alike``
+
+
+def test_hot_buckets_are_split_by_line():
+    buckets, lines = np.array([2, 4, 4, 4, 4, 6] * 50, np.int64), np.arange(300, dtype=np.int64) // 2
+    got = linededup.split_hot(buckets, lines, np.array([[4, 8], [3, 2]], np.int64))
+    assert (got[buckets != 4] == buckets[buckets != 4]).all() and (got[buckets == 4] & 1 == 1).all() and len(set(got[buckets == 4].tolist())) == 3
+    again = linededup.split_hot(buckets[::-1], lines[::-1], np.array([[4], [3]], np.int64))
+    assert (again[::-1] == got).all() and (linededup.split_hot(buckets, lines, np.zeros((2, 0), np.int64)) == buckets).all()
+
+
+def test_only_linked_lines_meet_the_links(spark):
+    texts = [(7, f"one {i}\n\ntwo {i % 5}\none {i}\n \t") for i in range(200)] + [(None, "two 3"), (8, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    links = spark.createDataFrame([(linededup.name(b"two 3"), 1), (linededup.name(b"one 9"), 1)], "node bigint, root bigint")
+    got = linededup._line_rows(docs, "doc_id", "text", links).collect()
+    assert len(got) == 401 and {r["at"] for r in got} == {0, 2} and len({(r["node"], r["k"]) for r in got}) == 205
+    near = {linededup.name(x): sum(r["near"] for r in got if r["node"] == linededup.name(x)) for x in (b"two 3", b"one 9")}
+    assert list(near.values()) == [41, 1] and sum(r["near"] for r in got) < 80
