@@ -493,6 +493,15 @@ def cogroup_arrow(spark: SparkSession, d: str) -> DataFrame:
 )
 def join_coarse_key(spark: SparkSession, d: str) -> DataFrame:
     """A join on keys that agree in part only: letters count without case, and a last field of the key not at all."""
+    rows = coarse_graph(spark, d).read().select(F.concat_ws("/", F.upper("target_key.letter"), F.col("target_key.nation").cast("string")).alias("grp"), "value.left", "value.right")
+    # sums over all pairs of a group, from both sides' own sums
+    pairs = {"n": "left.n * right.n", "left_sum": "left.total * right.n", "right_sum": "right.total * left.n"}
+    return rows.groupBy("grp").agg(*[F.sum(F.expr(x)).alias(name) for name, x in pairs.items()])
+
+
+def coarse_graph(spark: SparkSession, d: str) -> Stage:
+    """Customers and suppliers counted and summed by coarse key, then joined: the pairs of a group are as many as its
+    customers times its suppliers, and their sums need none of them."""
     coarse = KeySpec(("upper(key.letter)", "key.nation"))
     kind = "struct<letter:string,nation:int,id:bigint>"
 
@@ -501,16 +510,20 @@ def join_coarse_key(spark: SparkSession, d: str) -> DataFrame:
         return native(lambda u: u.select(F.col("key").alias("source_key"), key.alias("target_key"), F.col("key").alias("value"), "ordinal"))
 
     g = Graph(spark)
-    value = "struct<nation:int,word:string>"
+    value, sums = "struct<nation:int,word:string>", "struct<n:bigint,total:bigint>"
     c = g.source("c", "bigint", value, side("upper(substr(value.word, 1, 1))"), target_key=kind, target_value="bigint", target_keys=coarse)
     s = g.source("s", "bigint", value, side("lower(substr(value.word, 1, 1))"), target_key=kind, target_value="bigint", target_keys=coarse)
-    both = c.joins("both", s)
+    # a spelling of the letter has its own sums, under the least id
+    summed = native(
+        lambda u: u.groupBy("key.letter", "key.nation").agg(F.min("key.id").alias("id"), F.count("*").alias("n"), F.sum("value").alias("total")).select(F.struct("letter", "nation", "id").alias("source_key"), F.struct("letter", "nation", "id").alias("target_key"), F.struct("n", "total").alias("value"))
+    )
+    left, right = (x.produces(f"{x.name}_sums", summed, kind, sums, target_keys=coarse) for x in (c, s))
+    both = left.joins("both", right)
     customer, supplier = table(spark, d, "customer"), table(spark, d, "supplier")
     wave = keyed(customer, F.col("c_custkey"), F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("word")))
     g.update({"c": wave, "s": keyed(supplier, F.col("s_suppkey"), F.struct(F.col("s_nationkey").alias("nation"), F.expr("if(s_suppkey % 2 = 0, 'B', 'F')").alias("word")))})
     g.update({"c": deletes(customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key")), wave)})
-    rows = both.read().select(F.concat_ws("/", F.upper("target_key.letter"), F.col("target_key.nation").cast("string")).alias("grp"), "value")
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("value.left").alias("left_sum"), F.sum("value.right").alias("right_sum"))
+    return both
 
 
 @query(f"SELECT o_custkey % 100 AS key, count(*) AS n, CAST(sum(price) AS DECIMAL(28,2)) AS total FROM (SELECT * FROM {ORDERS} WHERE price < 100000 UNION ALL SELECT * FROM {ORDERS} WHERE price >= 50000) x GROUP BY 1")
