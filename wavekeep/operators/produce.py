@@ -81,7 +81,7 @@ def _plain(x: Any) -> Any:
     return None if x is pd.NA else x
 
 
-def pandas(fn: Callable[[Any, pd.DataFrame], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str) -> Producer:
+def pandas(fn: Callable[[Any, pd.DataFrame], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str, batch: int = 10_000) -> Producer:
     """``fn(key, rows)`` gets a key (that of the group's first row) and its rows by ordinal (columns value and
     ordinal, Arrow-backed), and yields (target key, value). A group is held in memory; for larger ones use ``arrow``."""
 
@@ -89,18 +89,59 @@ def pandas(fn: Callable[[Any, pd.DataFrame], Iterable[tuple[Any, Any]]], target:
         schema = _schema(upserts.schema["key"].dataType, target, value)
         types = to_arrow_schema(schema)
 
-        def run(rows: pa.Table) -> pa.Table:
-            # Arrow-backed columns: whole numbers beside nulls stay whole
-            frame = rows.select(["key", "value", "ordinal"]).to_pandas(types_mapper=_held, integer_object_nulls=True)
-            key = rows.column("key")[0].as_py()
-            made = list(fn(key, frame[["value", "ordinal"]]))
-            return pa.Table.from_pylist([{"source_key": key, "target_key": _plain(t), "value": _plain(v), ORD: i} for i, (t, v) in enumerate(made)], types)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = []
+            for key, rows in _frames(batches):
+                for i, (t, v) in enumerate(fn(key, rows)):
+                    made.append({"source_key": key, "target_key": _plain(t), "value": _plain(v), ORD: i})
+                    if len(made) >= batch:
+                        yield pa.RecordBatch.from_pylist(made, types)
+                        made = []
+            yield pa.RecordBatch.from_pylist(made, types)
 
-        return _grouped(upserts, spec).groupBy("_g").applyInArrow(run, schema)
+        return _grouped(upserts, spec).select("_g", "key", "value", "ordinal").mapInArrow(run, schema)
 
     return Producer(apply)
 
 
+def _same(a: Any, b: Any) -> bool:
+    """Equality of groups as Spark has it: NaN equals NaN, also inside structs and arrays."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b or (a != a and b != b)
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, pd.DataFrame]]:
+    """(key, rows) of each group of a sorted run. A batch is made a frame as a whole and groups are cut from it, as the
+    fixed cost of a conversion is more than that of most groups' rows."""
+    group, key, parts = None, None, []
+
+    def whole() -> pd.DataFrame:
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        rows.index = pd.RangeIndex(len(rows))
+        return rows
+
+    for b in batches:
+        groups, keys = b.column("_g").to_pylist(), b.column("key").to_pylist()
+        # Arrow-backed columns: whole numbers beside nulls stay whole
+        frame = pa.Table.from_batches([b]).select(["value", "ordinal"]).to_pandas(types_mapper=_held, integer_object_nulls=True)
+        at = 0
+        while at < len(groups):
+            if not parts or not _same(group, groups[at]):
+                if parts:
+                    yield key, whole()
+                group, key, parts = groups[at], keys[at], []
+            end = at + 1
+            while end < len(groups) and (groups[end] == group or _same(group, groups[end])):
+                end += 1
+            parts.append(frame.iloc[at:end])
+            at = end
+    if parts:
+        yield key, whole()
+
+
 def arrow(fn: Callable[[Any, Iterator[Any]], Iterable[tuple[Any, Any]]], target: T.DataType | str, value: T.DataType | str, batch: int = 10_000) -> Producer:
     """``fn(key, values)`` gets a key and a single-use iterator over its values by ordinal: groups of any
     size stream through in Arrow batches. It need not use all values."""
