@@ -22,6 +22,11 @@ class KeySpec:
     order: tuple[str, ...] = ()
     collation: str | None = None
 
+    @property
+    def plain(self) -> bool:
+        """Whether a group has only one key."""
+        return not self.group and not self.collation
+
     def of(self, column: str) -> Column:
         """The column that two keys of one group have in common."""
         if self.group:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import KeySpec, match
-from ..sources.schema import DELETE, ORD, UPDATE
-from .merge import affected_keys
+from ..sources.schema import UPDATE
+from .merge import groups_of, merge_wave, of_affected, upserts, with_deletes
 
 
 def equi_join(left: DataFrame, right: DataFrame, how: str = "inner", spec: KeySpec = KeySpec()) -> DataFrame:
@@ -23,30 +23,21 @@ def equi_join(left: DataFrame, right: DataFrame, how: str = "inner", spec: KeySp
     return rows.select(F.when(F.col("_x"), F.col("_ka")).otherwise(F.col("_kb")).alias("key"), F.struct("left", "right").alias("value"))
 
 
-def _of_affected(contents: tuple[DataFrame, DataFrame], affected: DataFrame, spec: KeySpec) -> list[DataFrame]:
-    rows = [c.select(F.col("target_key").alias("key"), "value", F.col(ORD).alias("ordinal")).withColumn("_g", spec.of("key")) for c in contents]
-    return [match(r, affected.select("_g"), "left_semi").drop("_g") for r in rows]
+def join_wave(contents: tuple[DataFrame, DataFrame], affected: DataFrame | None, how: str = "inner", spec: KeySpec = KeySpec()) -> DataFrame:
+    """A wave of pairs for a stage that holds a join. A changed key without result is a delete. affected: None if all
+    keys of both sides are new."""
+    sides = [upserts(of_affected(c, affected, spec)).select("key", "value") for c in contents]
+    ups = equi_join(*sides, how, spec).select(F.lit(UPDATE).alias("type"), "key", "value", F.lit(0).cast("long").alias("ordinal"))
+    if affected is None:
+        return ups
+    # keys tell which groups have a result, so the join is run once
+    left, right = [groups_of(c, spec) for c in contents]
+    alive = {"inner": lambda: match(left, right, "left_semi"), "left": lambda: left, "right": lambda: right, "full": lambda: left.unionByName(right)}[how]()
+    return with_deletes(ups, affected, alive)
 
 
-def _wave(rows: DataFrame, affected: DataFrame, spec: KeySpec) -> DataFrame:
-    """Upserts of ``rows`` (key, value, ordinal), and a delete for each affected key without any."""
-    ups = rows.select(F.lit(UPDATE).alias("type"), "key", "value", "ordinal")
-    gone = match(affected, rows.select(spec.of("key").alias("_g")), "left_anti")
-    kind = rows.schema["value"].dataType
-    return ups.unionByName(gone.select(F.lit(DELETE).alias("type"), "key", F.lit(None).cast(kind).alias("value"), F.lit(0).cast("long").alias("ordinal")))
-
-
-def join_wave(feeds: tuple[DataFrame, DataFrame], contents: tuple[DataFrame, DataFrame], how: str = "inner", spec: KeySpec = KeySpec(), affected: DataFrame | None = None) -> DataFrame:
-    """A wave of pairs for a stage that holds a join. A changed key without result is a delete."""
-    affected = affected_keys(list(feeds), spec) if affected is None else affected
-    rows = equi_join(*_of_affected(contents, affected, spec), how, spec).withColumn("ordinal", F.lit(0).cast("long"))
-    return _wave(rows, affected, spec)
-
-
-def cogroup_wave(contents: tuple[DataFrame, DataFrame], affected: DataFrame, spec: KeySpec = KeySpec()) -> DataFrame:
+def cogroup_wave(contents: tuple[DataFrame, DataFrame], affected: DataFrame | None, spec: KeySpec = KeySpec()) -> DataFrame:
     """A wave of both sides' rows for a co-group: value is struct<side, left, right>, side 0 for left and 1 for right."""
-    a, b = _of_affected(contents, affected, spec)
-    kinds = [x.schema["value"].dataType for x in (a, b)]
+    kinds = [x.schema["value"].dataType for x in contents]
     cells = [F.struct(F.lit(0).alias("side"), F.col("value").alias("left"), F.lit(None).cast(kinds[1]).alias("right")), F.struct(F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("left"), F.col("value").alias("right"))]
-    rows = a.select("key", cells[0].alias("value"), "ordinal").unionByName(b.select("key", cells[1].alias("value"), "ordinal"))
-    return _wave(rows, affected, spec)
+    return merge_wave([c.withColumn("value", cell) for c, cell in zip(contents, cells, strict=True)], affected, spec)

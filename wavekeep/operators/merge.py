@@ -14,9 +14,42 @@ from ..sources.schema import DELETE, ORD, UPDATE
 def affected_keys(feeds: list[DataFrame], spec: KeySpec = KeySpec()) -> DataFrame:
     """Distinct keys that any feeder changes: columns key (one of those in the group) and _g."""
     keys = reduce(DataFrame.unionByName, [f.select("key") for f in feeds])
+    if spec.plain:
+        return keys.distinct().withColumn("_g", spec.of("key"))
     return keys.withColumn("_g", spec.of("key")).groupBy("_g").agg(F.min("key").alias("key"))
 
 
+def upserts(content: DataFrame) -> DataFrame:
+    return content.select(F.lit(UPDATE).alias("type"), F.col("target_key").alias("key"), "value", F.col(ORD).alias("ordinal"))
+
+
+def of_affected(content: DataFrame, affected: DataFrame | None, spec: KeySpec) -> DataFrame:
+    """Rows of affected keys; all rows if ``affected`` is None."""
+    if affected is None:
+        return content
+    return match(content.withColumn("_g", spec.of("target_key")), affected.select("_g"), "left_semi").drop("_g")
+
+
+def groups_of(content: DataFrame, spec: KeySpec) -> DataFrame:
+    return content.select(spec.of("target_key").alias("_g")).distinct()
+
+
+def with_deletes(ups: DataFrame, affected: DataFrame, alive: DataFrame) -> DataFrame:
+    """Upserts, and a delete for each affected key whose group is not in ``alive``."""
+    gone = match(affected, alive, "left_anti")
+    kind = ups.schema["value"].dataType
+    return ups.unionByName(gone.select(F.lit(DELETE).alias("type"), "key", F.lit(None).cast(kind).alias("value"), F.lit(0).cast("long").alias("ordinal")))
+
+
+def merge_wave(contents: list[DataFrame], affected: DataFrame | None, spec: KeySpec = KeySpec()) -> DataFrame:
+    """What ``merge_sources`` gives, from the contents of the new version alone: a feed has all rows of its keys, so
+    has the content. affected: None if all keys of all feeders are new."""
+    ups = reduce(DataFrame.unionByName, [upserts(of_affected(c, affected, spec)) for c in contents])
+    if affected is None:
+        return ups
+    return with_deletes(ups, affected, reduce(DataFrame.unionByName, [groups_of(c, spec) for c in contents]))
+
+
 def augmented(feed: DataFrame, content: DataFrame, affected: DataFrame, spec: KeySpec = KeySpec()) -> DataFrame:
     """A feeder's changes, and for affected keys that it doesn't change its content, as updates."""
     own = feed.select(spec.of("key").alias("_g")).distinct()

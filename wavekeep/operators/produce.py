@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 from typing import Any
 
@@ -23,9 +23,11 @@ Apply = Callable[[DataFrame, KeySpec], DataFrame]
 
 @dataclass(frozen=True)
 class Producer:
-    """``apply`` takes upserts (key, value, ordinal) and gives (source_key, target_key, value, _ord)."""
+    """``apply`` takes upserts (key, value, ordinal) and gives (source_key, target_key, value, _ord). ``columns_only``:
+    it only renames columns, so it may well be run again."""
 
     apply: Apply
+    columns_only: bool = False
 
 
 def _shaped(df: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def native(fn: Callable[[DataFrame], DataFrame]) -> Producer:
 
 
 def identity() -> Producer:
-    return native(lambda u: u.select(F.col("key").alias("source_key"), F.col("key").alias("target_key"), "value", "ordinal"))
+    return replace(native(lambda u: u.select(F.col("key").alias("source_key"), F.col("key").alias("target_key"), "value", "ordinal")), columns_only=True)
 
 
 def _schema(source: T.DataType, target: T.DataType | str, value: T.DataType | str) -> T.StructType:

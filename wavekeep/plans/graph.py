@@ -18,7 +18,7 @@ from pyspark.util import inheritable_thread_target
 from ..functions.keys import KeySpec
 from ..operators import reconcile as r
 from ..operators.join import cogroup_wave, join_wave
-from ..operators.merge import affected_keys, merge_sources
+from ..operators.merge import affected_keys, merge_wave
 from ..operators.preserve import Preserve, preserve
 from ..operators.produce import Producer, identity
 from ..sources.schema import DELETE, ORD, WaveError, check_shape, check_wave, content_schema, ddl, empty, mappings_schema, updates_schema
@@ -27,6 +27,11 @@ from ..sources.store import Scratch, Store, session_store
 log = logging.getLogger(__name__)
 
 
+def _filled(held: dict | None) -> bool:
+    """Whether a version of a stage has rows."""
+    return bool(held and (held["content"] or held["key_mappings"]))
+
+
 @dataclass
 class Stage:
     graph: Graph
@@ -190,12 +195,14 @@ class Graph:
 
     def _update(self, inputs: dict[str, DataFrame], base: int, version: int, stream: tuple[str, int] | None, validate: bool, scratch: Scratch) -> WaveReport:
         found = (self.store.manifest(self.spark, base) if base else None) or {"stages": {}}
-        held = self._held(base) | {}
+        before = self._held(base)
+        held = before | {}
         wave, seconds, rows = f"{version:06d}-{uuid.uuid4().hex[:12]}", {}, {}
         feeds: set[str] = set()
+        touched: dict[str, DataFrame] = {}  # by stage: one key of each group in its feed
 
         def run(stage: Stage) -> tuple[str, dict, dict, float]:
-            began = time.time()
+            began, changed = time.time(), None
             if not stage.sources:
                 changes = inputs[stage.name].select("type", "key", "value", "ordinal")
                 if held.get(stage.name):  # read several times below
@@ -203,8 +210,10 @@ class Graph:
                 if validate:
                     check_wave(changes, stage.source_keys.of("key"))
             else:
-                changes = self._fed(stage, held, feeds, scratch)
-            now, n = self._stage_wave(stage, held.get(stage.name), changes, wave, scratch)
+                changes, changed = self._fed(stage, before, held, feeds, touched, scratch)
+            now, n, keys = self._stage_wave(stage, held.get(stage.name), changes, changed, wave, scratch)
+            if keys is not None and not stage.suppress_unchanged:
+                touched[stage.name] = keys
             return stage.name, now, n, time.time() - began
 
         for level in self._levels(list(inputs)):
@@ -218,42 +227,54 @@ class Graph:
         self.version = version
         return WaveReport(version, seconds, rows)
 
-    def _fed(self, stage: Stage, held: dict[str, dict], feeds: set[str], scratch: Scratch) -> DataFrame:
-        """The wave that a stage's sources give it."""
+    def _fed(self, stage: Stage, before: dict[str, dict], held: dict[str, dict], feeds: set[str], touched: dict[str, DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+        """The wave that a stage's sources give it, and one key of each group that it changes if that is known."""
         spec = stage.source_keys
-        feed = [self._read(s, "updates", held[s.name]) if s.name in feeds else empty(self.spark, self._schema(s, "updates")) for s in stage.sources]
+        known = {s.name: touched[s.name] for s in stage.sources if s.name in touched and s.name in feeds and s.target_keys == spec}
         if len(stage.sources) == 1:
-            return feed[0]
-        affected = scratch.put(affected_keys(feed, spec).select("key")).withColumn("_g", spec.of("key"))
+            name = stage.sources[0].name
+            return self._read(stage.sources[0], "updates", held[name] if name in feeds else None), known.get(name)
+        # a bulk load: all that the sources hold is new
+        whole = not any(_filled(before.get(s.name)) for s in (stage, *stage.sources))
+        affected = None
+        if not whole:
+            keys = [known.get(s.name, self._read(s, "updates", held[s.name])) for s in stage.sources if s.name in feeds]
+            if len(keys) == 1 and known:
+                affected = keys[0]
+            else:
+                affected = scratch.put(affected_keys(keys or [empty(self.spark, self._schema(stage.sources[0], "updates"))], spec).select("key"))
+            affected = affected.withColumn("_g", spec.of("key"))
         contents = []
         for s in stage.sources:
             at = held.get(s.name)
             # of a source that groups its keys alike only the buckets of affected keys are read
-            only = self._buckets(affected, spec, "key", at["buckets"]) if at and s.target_keys == spec else None
+            only = self._buckets(affected, spec, "key", at["buckets"]) if at and not whole and s.target_keys == spec else None
             contents.append(self._read(s, "content", at, only))
         if stage.how == "cogroup":
             changes = cogroup_wave(tuple(contents), affected, spec)
         elif stage.how:
-            changes = join_wave(tuple(feed), tuple(contents), stage.how, spec, affected)
+            changes = join_wave(tuple(contents), affected, stage.how, spec)
         else:
-            changes = merge_sources(list(zip(feed, contents, strict=True)), spec, affected)
-        return scratch.put(changes)
+            changes = merge_wave(contents, affected, spec)
+        return (changes, None) if whole else (scratch.put(changes), affected.select("key"))
 
     def _buckets(self, rows: DataFrame, spec: KeySpec, column: str, buckets: int) -> set[int]:
         """The buckets of rows' keys: at most ``buckets`` numbers."""
         return {x[0] for x in rows.select(spec.bucket(column, buckets).alias("b")).distinct().collect()}
 
-    def _stage_wave(self, stage: Stage, before: dict | None, changes: DataFrame, wave: str, scratch: Scratch) -> tuple[dict, dict]:
-        """Writes what changes of one stage: the buckets that the wave touches, and the feed."""
+    def _stage_wave(self, stage: Stage, before: dict | None, changes: DataFrame, changed: DataFrame | None, wave: str, scratch: Scratch) -> tuple[dict, dict, DataFrame | None]:
+        """Writes what changes of one stage: the buckets that the wave touches, and the feed. Gives the touched keys of
+        a stage that had rows. changed: one source key of each group in ``changes``, None if not known."""
         source, target = stage.source_keys, stage.target_keys
         n = before["buckets"] if before else self.store.buckets
         top = before["top_id"] if before else 0
-        known = bool(before and (before["content"] or before["key_mappings"]))
+        known = _filled(before)
         feed_wanted = stage.emit_updates or bool(stage.targets)
         if known:
-            changed, produced = self._together(lambda: scratch.put(r.changed_keys(changes, source)), lambda: self._produced(stage, changes, scratch))
+            keys = changed
+            changed, produced = self._together(lambda: scratch.put(r.changed_keys(changes, source)) if keys is None else keys, lambda: self._produced(stage, changes, scratch, True))
         else:
-            changed, produced = None, self._produced(stage, changes, scratch)
+            changed, produced = None, self._produced(stage, changes, scratch, False)
 
         def write(kind: str, df: DataFrame, spec: KeySpec, column: str) -> tuple[dict[str, str], int]:
             return self.store.write(stage.name, kind, wave, df, spec.bucket(column, n), self._sort(stage, kind))
@@ -263,7 +284,9 @@ class Graph:
                 produced, top = preserve(produced, empty(self.spark, self._schema(stage, "content")), stage.preserved, target, source, top, scratch)
                 produced = scratch.put(produced)
             (content, rows), (mappings, pairs) = self._together(lambda: write("content", produced, target, "target_key"), lambda: write("key_mappings", produced.select(*r.MAPPING), source, "source_key"))
-            touched, past = None, None
+            touched, past, hot = None, None, None
+            if feed_wanted and rows > r.HOT:
+                hot = r.hot_groups(produced, target)
         else:
             from_buckets = self._buckets(changed, source, "key", n)
             lineage = self._read(stage, "key_mappings", before, from_buckets)
@@ -278,7 +301,9 @@ class Graph:
                 lambda: write("key_mappings", r.next_mappings(lineage, changed, produced, source), source, "source_key"),
                 lambda: scratch.put(r.with_past(keys, past, changed, source, target)),
             )
-            n_touched, torn = touched.agg(F.count("*"), F.max(F.col("torn").cast("int"))).first()
+            made = F.when(~F.col("known"), F.col("made"))  # of a key that was not there
+            n_touched, torn, most = touched.agg(F.count("*"), F.max(F.col("torn").cast("int")), F.max(made)).first()
+            hot = touched.where(made > r.HOT).select(target.of("key").alias("_g")) if (most or 0) > r.HOT else None
             if torn:
                 raise WaveError(f"content and lineage of {stage.name} disagree: the version that the wave starts from is damaged")
             content = {b: w for b, w in before["content"].items() if int(b) not in to_buckets} | content
@@ -286,17 +311,23 @@ class Graph:
         held = {"buckets": n, "top_id": top, "content": content, "key_mappings": mappings, "updates": {}}
         count = {"content": rows, "key_mappings": pairs}
         if feed_wanted:
-            # from what was just written
-            now = self._read(stage, "content", held, None if touched is None else to_buckets)
-            feed = r.change_feed(touched, now, target, past if stage.suppress_unchanged else None)
+            if touched is None:
+                if hot is not None:
+                    hot = scratch.put(hot)
+                    hot = None if hot.isEmpty() else hot
+                feed = r.change_feed(None, None, produced, target, hot=hot)
+            else:  # from what was just written
+                now = self._read(stage, "content", held, to_buckets)
+                feed = r.change_feed(touched, now, produced, target, past if stage.suppress_unchanged else None, most is not None, hot)
             held["updates"], count["updates"] = self.store.write(stage.name, "updates", wave, feed, None, [])
         if touched is not None:
             count["touched"] = n_touched
-        return held, count
+        return held, count, touched.select("key") if touched is not None else None
 
-    def _produced(self, stage: Stage, changes: DataFrame, scratch: Scratch) -> DataFrame:
-        """What the changed keys produce now; written, as several outputs come from it."""
+    def _produced(self, stage: Stage, changes: DataFrame, scratch: Scratch, written: bool) -> DataFrame:
+        """What the changed keys produce now; written, as several outputs come from it, unless it is but a choice of
+        columns from changes that are ``written``."""
         out = stage.producer.apply(changes.where(F.col("type") != DELETE).select("key", "value", "ordinal"), stage.source_keys)
         out = out.select("source_key", "target_key", "value", ORD)
         check_shape(out, self._schema(stage, "content"), stage.name)
-        return scratch.put(out)
+        return out if written and stage.producer.columns_only else scratch.put(out)
