@@ -48,8 +48,12 @@ def as_updates(df: DataFrame, change: str = ADD) -> DataFrame:
 
 def check_wave(updates: DataFrame, group) -> None:
     """Each key has one delete or any number of upserts; types are known. Raises WaveError."""
+    odd = ~F.coalesce(F.col("type"), F.lit("")).isin(*CHANGES)
+    # upserts alone, however many, need no look at their keys
+    if not any(updates.agg(F.count_if(F.col("type") == DELETE), F.count_if(odd)).first()):
+        return
     deletes = F.sum((F.col("type") == DELETE).cast("int"))
-    bad = updates.groupBy(group.alias("_g")).agg(deletes.alias("d"), F.count("*").alias("n"), F.max((~F.coalesce(F.col("type"), F.lit("")).isin(*CHANGES)).cast("int")).alias("odd"))
+    bad = updates.groupBy(group.alias("_g")).agg(deletes.alias("d"), F.count("*").alias("n"), F.max(odd.cast("int")).alias("odd"))
     first = bad.where("(d > 0 and n > 1) or odd = 1").select(F.col("_g").cast("string").alias("k"), "d", "n", "odd").head()
     if first is not None:
         what = "an unknown change type" if first["odd"] else "several deletes" if first["d"] == first["n"] else "a delete and upserts"
